@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerweave.llm import decontamination
+from ledgerweave.llm.decontamination import op8_benchmark_decontamination
 from ledgerweave.llm.packing import op1_best_fit_packing
+from ledgerweave.llm.quality_rules import op9_quality_rules
+from ledgerweave.llm.simhash_dedup import op10_simhash_near_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_best_fit_packing, op8_benchmark_decontamination, op9_quality_rules, op10_simhash_near_dedup)
+}
+ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": decontamination.ORACLE_SQL}
