@@ -12,6 +12,11 @@ def _range(start: Column, end: Column) -> Column:
     return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once, where use mentions it often or inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _none() -> Column:
     return F.array().cast(RANGES)
 
@@ -37,8 +42,7 @@ def cut(ranges: Column, at: Column) -> tuple[Column, Column]:
 
 def cut_range(ranges: Column, start: Column, end: Column) -> Column:
     """What lies in [start, end), beginning anew at 0; null if nothing does."""
-    part = _clip(ranges, start, end, start)
-    return F.when(F.size(part) > 0, part)
+    return _let(_clip(ranges, start, end, start), lambda part: F.when(F.size(part) > 0, part))
 
 
 def _taken(ranges: Column, amount: Column) -> Column:
@@ -55,15 +59,15 @@ def _taken(ranges: Column, amount: Column) -> Column:
 def split(ranges: Column, amount: Column) -> tuple[Column, Column]:
     """The first amount units and the rest, which begins anew at 0 where the first part ends."""
     left = _taken(ranges, amount)
-    at = F.coalesce(F.try_element_at(left, F.lit(-1))["end"], F.lit(0).cast("bigint"))
-    return left, cut(ranges, at)[1]
+    end = F.coalesce(F.try_element_at(left, F.lit(-1))["end"], F.lit(0).cast("bigint"))
+    return left, _let(end, lambda at: cut(ranges, at)[1])
 
 
 def pick_up(ranges: Column, offset: Column, amount: Column) -> Column:
     """The first amount units at or after offset, in place; null unless all are there."""
     zero, far = F.lit(0).cast("bigint"), F.lit(_FAR).cast("bigint")
-    part = _taken(_clip(ranges, offset, far, zero), amount)
-    return F.when((amount > 0) & (size(part) == amount), part)
+    taken = _taken(_clip(ranges, offset, far, zero), amount)
+    return _let(taken, lambda part: F.when((amount > 0) & (size(part) == amount), part))
 
 
 def merge(ranges: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import offsets
@@ -60,6 +60,12 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
 
 
+def _parts(left: Column, right: Column) -> Column:
+    """Both parts in one array, named."""
+    named = lambda name, ranges: F.transform(ranges, lambda r: F.struct(F.lit(name).alias("part"), r["start"].alias("start"), r["end"].alias("end")))
+    return F.concat(named("left", left), named("right", right))
+
+
 _RUNNING = f'(select user_id, s, e, cast(sum(e - s) over (partition by user_id order by s rows unbounded preceding) - (e - s) as bigint) as done from ({_ISLANDS}))'
 
 
@@ -72,9 +78,7 @@ union all select i.user_id, 'right', greatest(i.s, pos) - pos, i.e - pos from ({
 def split_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 units of a user's ranges, and the rest counted from the cut."""
     left, right = offsets.split(F.col("ranges"), F.lit(40))
-    held = _held(spark, sf_dir).select("user_id", left.alias("l"), right.alias("r"))
-    part = lambda name, c: held.select("user_id", F.lit(name).alias("part"), F.inline(c))
-    return part("left", "l").unionByName(part("right", "r"))
+    return _held(spark, sf_dir).select("user_id", F.inline(_parts(left, right)))
 
 
 @query(f"""
@@ -83,9 +87,7 @@ union all select user_id, 'right', greatest(s, 100) - 100, e - 100 from ({_ISLAN
 """)
 def cut_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = offsets.cut(F.col("ranges"), F.lit(100))
-    held = _held(spark, sf_dir).select("user_id", left.alias("l"), right.alias("r"))
-    part = lambda name, c: held.select("user_id", F.lit(name).alias("part"), F.inline(c))
-    return part("left", "l").unionByName(part("right", "r"))
+    return _held(spark, sf_dir).select("user_id", F.inline(_parts(left, right)))
 
 
 @query(f"""
