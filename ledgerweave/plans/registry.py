@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerweave.plans import amounts, chain, flows, history, holdings, names, protocols, ranges
+from ledgerweave.plans import amounts, chain, flows, history, holdings, lookups, names, protocols, ranges
 from ledgerweave.plans.catalog import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "amounts", "chain", "flows", "history", "holdings", "names", "protocols", "ranges"]
+__all__ = ["ORACLE_SQL", "QUERIES", "amounts", "chain", "flows", "history", "holdings", "lookups", "names", "protocols", "ranges"]
