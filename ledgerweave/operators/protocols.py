@@ -6,6 +6,7 @@ fold, so a task holds a batch and the state of one key, never a key's rows.
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -36,27 +37,28 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def skipping_cap(cap: int):
-    """Mints up to a cap; one that would pass it is refused whole, and a later smaller one may still fit (key, order, amount)."""
+class SkippingCap:
+    """Mints up to a cap (rows: ticker, seq, amount); one that would pass it is refused whole, and a later smaller one may still fit."""
 
-    def start():
-        left = cap
+    def __init__(self, cap: int):
+        self.left = cap
 
-        def fold(row):
-            nonlocal left
-            fits = row.amount <= left
-            left -= row.amount if fits else 0
-            return [(row.ticker, row.seq, row.amount, bool(fits), left)]
+    def __call__(self, row) -> list[tuple]:
+        fits = row.amount <= self.left
+        self.left -= row.amount if fits else 0
+        return [(row.ticker, row.seq, row.amount, bool(fits), self.left)]
 
-        return fold
+    def dump(self) -> str:
+        return json.dumps(int(self.left))
 
-    return start
+    def load(self, text: str) -> None:
+        self.left = json.loads(text)
 
 
 SKIPPED = "ticker long, seq long, amount long, accepted boolean, left_after long"
 
 
-def token_account(most: int, per_mint: int):
+class TokenAccount:
     """Deploy, mint, inscribe a transfer, move it or cancel it, for one ticker.
 
     Rows: ticker, seq, owner, receiver, action, amount. The first deploy counts. A mint needs a deploy and at most
@@ -64,34 +66,39 @@ def token_account(most: int, per_mint: int):
     transferable; moving credits the receiver with the owner's oldest inscribed transfer, cancelling gives it back.
     """
 
-    def start():
-        deployed, left = False, most
-        available: dict[int, int] = {}
-        inscribed: dict[int, deque[int]] = {}
-
-        def fold(row):
-            nonlocal deployed, left
-            amount, accepted = 0, False
-            mine = available.get(row.owner, 0)
-            if row.action == "deploy":
-                accepted, deployed = not deployed, True
-            elif row.action == "mint" and deployed and 0 < row.amount <= per_mint and left:
-                amount, accepted = min(row.amount, left), True
-                left -= amount
-                available[row.owner] = mine + amount
-            elif row.action == "inscribe" and 0 < row.amount <= mine:
-                amount, accepted = row.amount, True
-                available[row.owner] = mine - amount
-                inscribed.setdefault(row.owner, deque()).append(amount)
-            elif row.action in ("move", "cancel") and inscribed.get(row.owner):
-                amount, accepted = inscribed[row.owner].popleft(), True
-                to = row.receiver if row.action == "move" else row.owner
-                available[to] = available.get(to, 0) + amount
-            return [(row.ticker, row.seq, row.owner, row.action, accepted, amount, available.get(row.owner, 0), sum(inscribed.get(row.owner, ())))]
-
-        return fold
-
-    return start
+    def __init__(self, most: int, per_mint: int):
+        self.deployed, self.left, self.per_mint = False, most, per_mint
+        self.available: dict[int, int] = {}
+        self.inscribed: dict[int, deque[int]] = {}
+
+    def __call__(self, row) -> list[tuple]:
+        amount, accepted = 0, False
+        mine = self.available.get(row.owner, 0)
+        if row.action == "deploy":
+            accepted, self.deployed = not self.deployed, True
+        elif row.action == "mint" and self.deployed and 0 < row.amount <= self.per_mint and self.left:
+            amount, accepted = min(row.amount, self.left), True
+            self.left -= amount
+            self.available[row.owner] = mine + amount
+        elif row.action == "inscribe" and 0 < row.amount <= mine:
+            amount, accepted = row.amount, True
+            self.available[row.owner] = mine - amount
+            self.inscribed.setdefault(row.owner, deque()).append(amount)
+        elif row.action in ("move", "cancel") and self.inscribed.get(row.owner):
+            amount, accepted = self.inscribed[row.owner].popleft(), True
+            to = row.receiver if row.action == "move" else row.owner
+            self.available[to] = self.available.get(to, 0) + amount
+        return [(row.ticker, row.seq, row.owner, row.action, accepted, amount, self.available.get(row.owner, 0), sum(self.inscribed.get(row.owner, ())))]
+
+    def dump(self) -> str:
+        held = [[int(k), int(v)] for k, v in self.available.items()]
+        waiting = [[int(k), list(map(int, v))] for k, v in self.inscribed.items() if v]
+        return json.dumps([self.deployed, int(self.left), held, waiting])
+
+    def load(self, text: str) -> None:
+        self.deployed, self.left, held, waiting = json.loads(text)
+        self.available = dict(map(tuple, held))
+        self.inscribed = {k: deque(v) for k, v in waiting}
 
 
 ACCOUNT = "ticker long, seq long, owner long, action string, accepted boolean, amount long, available long, transferable long"

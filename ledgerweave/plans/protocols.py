@@ -28,12 +28,12 @@ def capped_mint_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     rows = numbered(lines, ["l_partkey"], [F.col(c) for c in LINE_ORDER], "seq").select(F.col("l_partkey").alias("ticker"), "seq", F.col("l_quantity").cast("bigint").alias("amount"))
-    return P.ordered_fold(rows, ["ticker"], ["seq"], P.skipping_cap(500), P.SKIPPED)
+    return P.ordered_fold(rows, ["ticker"], ["seq"], lambda: P.SkippingCap(500), P.SKIPPED)
 
 
 @query()
 def token_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.ordered_fold(_acts(spark, sf_dir, ACTIONS), ["ticker"], ["seq"], P.token_account(20_000, 1_000), P.ACCOUNT)
+    return P.ordered_fold(_acts(spark, sf_dir, ACTIONS), ["ticker"], ["seq"], lambda: P.TokenAccount(20_000, 1_000), P.ACCOUNT)
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerweave.operators import flow, intervals, ordered, paging
 from ledgerweave.operators import protocols as P
 from ledgerweave.sources import csv
-from ledgerweave.streaming import blocks, mempool
+from ledgerweave.streaming import accounts, blocks, mempool
 
 
 def test_colour():
@@ -42,14 +43,14 @@ def test_freeze(spark):
 def test_token_account(spark):
     log = [("mint", 1, 5), ("deploy", 1, 0), ("deploy", 2, 0), ("mint", 1, 60), ("mint", 1, 101), ("mint", 2, 60), ("inscribe", 1, 70), ("inscribe", 1, 40), ("move", 1, 0), ("move", 1, 0), ("inscribe", 1, 20), ("cancel", 1, 0)]
     rows = spark.createDataFrame([(1, k, o, 2, a, n) for k, (a, o, n) in enumerate(log)], "ticker long, seq long, owner long, receiver long, action string, amount long")
-    out = sorted(P.ordered_fold(rows, ["ticker"], ["seq"], P.token_account(100, 100), P.ACCOUNT).collect(), key=lambda r: r.seq)
+    out = sorted(P.ordered_fold(rows, ["ticker"], ["seq"], lambda: P.TokenAccount(100, 100), P.ACCOUNT).collect(), key=lambda r: r.seq)
     assert [(r.accepted, r.amount) for r in out] == [(False, 0), (True, 0), (False, 0), (True, 60), (False, 0), (True, 40), (False, 0), (True, 40), (True, 40), (False, 0), (True, 20), (True, 20)]
     assert (out[-1].available, out[-1].transferable) == (20, 0)
 
 
 def test_skipping_cap(spark):
     rows = spark.createDataFrame([(1, k, n) for k, n in enumerate([400, 200, 100, 1])], "ticker long, seq long, amount long")
-    out = sorted(P.ordered_fold(rows, ["ticker"], ["seq"], P.skipping_cap(500), P.SKIPPED).collect(), key=lambda r: r.seq)
+    out = sorted(P.ordered_fold(rows, ["ticker"], ["seq"], lambda: P.SkippingCap(500), P.SKIPPED).collect(), key=lambda r: r.seq)
     assert [r.accepted for r in out] == [True, False, True, False]
 
 
@@ -134,3 +135,18 @@ def test_mempool(spark):
     frame = lambda *x: spark.createDataFrame([(v,) for v in x], "outpoint string")
     got = mempool.resolve_inputs(frame("1", "2", "3", "4"), frame("1"), frame("2"), frame("2", "3")).collect()
     assert {r.outpoint: r.status for r in got} == {"1": "confirmed", "2": "plain", "3": "pending", "4": "blocked"}
+
+
+def test_streamed_fold_equals_batch(spark, tmp_path):
+    rng = random.Random(2)
+    kinds = ["deploy", "mint", "mint", "inscribe", "move", "cancel"]
+    rows = [(k % 3, k, rng.randint(1, 4), rng.randint(1, 4), rng.choice(kinds), rng.randint(1, 40)) for k in range(300)]
+    schema = "ticker long, seq long, owner long, receiver long, action string, amount long"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={part}"))
+    want = sorted(map(tuple, P.ordered_fold(spark.createDataFrame(rows, schema), ["ticker"], ["seq"], lambda: P.TokenAccount(2000, 100), P.ACCOUNT).collect()))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    folded = accounts.fold_stream(stream, "ticker", ["seq"], lambda: P.TokenAccount(2000, 100), P.ACCOUNT)
+    sink = folded.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    sink.awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("ticker", "seq", "owner", "action", "accepted", "amount", "available", "transferable").collect())) == want
