@@ -108,9 +108,14 @@ def gather(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = stored(count_words(docs))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = docs.count()
-    held = counts.orderBy(F.desc("c"), "word").limit(HELD_WORDS).toArrow()
-    words = [bytes(w) for w in held.column("word").to_pylist()]
-    c = held.column("c").to_numpy().astype(np.int64)
+    # words of the highest magnitudes (eighths of a power of two) that together are HELD_WORDS at most: no task sorts them all
+    magnitude = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(magnitude.alias("m")).count().collect()), reverse=True)
+    reach = np.cumsum([n for _, n in sizes]) <= HELD_WORDS
+    least = sizes[int(reach.sum()) - 1][0] if reach.any() else 1 << 30
+    held = counts.where(magnitude >= least).toArrow()
+    ranked = sorted(zip((-held.column("c").to_numpy()).tolist(), map(bytes, held.column("word").to_pylist()), strict=True))
+    words, c = [w for _, w in ranked], np.array([-n for n, _ in ranked], np.int64)
     tokens, distinct = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     suffix = F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))
     for row in counts.groupBy(F.pmod(F.crc32(suffix), F.lit(TAIL_CLASSES)).alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():

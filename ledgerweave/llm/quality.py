@@ -108,14 +108,17 @@ class FactorisationMachine:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> FactorisationMachine:
-    """Fit on at most rows labelled texts of at most TRAIN_CHARS characters, drawn by the hash of doc_id.
+    """Fit on the texts of at most rows labels, drawn by the hash of doc_id; of those, texts of at most TRAIN_CHARS characters.
 
     docs: doc_id, text; labels: doc_id and the label (0 or 1). Null labels or ids teach nothing. Without rows, or with one
     label only, the model gives that label's share (0.5 without rows) to every text that has no learned feature.
+    The drawn labels, no more than rows, are broadcast, so that only their texts are
+    shuffled; of rows with one id, the least text counts.
     """
-    known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    chosen = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(known, "doc_id")
-    found = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select(F.col("text").cast("binary").alias("text"), "y").toArrow()
+    drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    chosen = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    found = chosen.groupBy("doc_id", "y").agg(F.min("text").cast("binary").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     model = FactorisationMachine()
     if found.num_rows:
         model.fit([features(t) for t in found.column("text").to_pylist()], found.column("y").to_numpy().astype(float))
@@ -139,18 +142,18 @@ def score(docs: DataFrame, model: FactorisationMachine, into: str = "score") ->
     return docs.withColumn(into, F.pandas_udf(scored, "double")("text"))
 
 
-def _training(docs: DataFrame) -> DataFrame:
-    return docs.where(bucket("doc_id", 5) != 0)
+def _training(labels: DataFrame) -> DataFrame:
+    return labels.where(bucket("doc_id", 5) != 0)
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the model trained on labels predicts to be good; columns are those of docs."""
-    model = train(_training(docs), labels)
+    model = train(docs, _training(labels))
     return score(docs, model, "__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = train(_training(docs), read(spark, sf_dir, "labels"))
+    model = train(docs, _training(read(spark, sf_dir, "labels")))
     scored = score(docs.select("doc_id", "text"), model, "score")
     return scored.select(F.col("doc_id").cast("long"), (bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -158,14 +158,17 @@ class TextConvolution:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> TextConvolution:
-    """Fit on at most rows labelled texts of at most TRAIN_CHARS characters, drawn by the hash of doc_id.
+    """Fit on the texts of at most rows labels, drawn by the hash of doc_id; of those, texts of at most TRAIN_CHARS characters.
 
     docs: doc_id, text, lang; labels: doc_id and the label. lang only serves the thresholds. Rows with a null label, id or
-    text teach nothing; without rows every text gets the same low score.
+    text teach nothing; without rows every text gets the same low score. The drawn labels, no more than rows, are
+    broadcast, so that only their texts are shuffled; of rows with one id, the least text counts.
     """
-    known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    chosen = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text", "lang").join(known, "doc_id")
-    found = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select(F.col("text").cast("binary").alias("text"), "lang", "y").toArrow()
+    drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    chosen = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text", "lang").join(F.broadcast(drawn), "doc_id")
+    least = chosen.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("d"))
+    found = least.select("doc_id", "y", F.col("d.text").cast("binary").alias("text"), "d.lang").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     model = TextConvolution()
     if found.num_rows:
         cache: dict[bytes, tuple[int, ...]] = {}
@@ -200,7 +203,7 @@ def flagged(model: TextConvolution, score_column: str, lang_column: str) -> Colu
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = train(docs.where(bucket("doc_id", 5) != 0), read(spark, sf_dir, "labels"))
+    model = train(docs, read(spark, sf_dir, "labels").where(bucket("doc_id", 5) != 0))
     scored = score(docs.select("doc_id", "text", "lang"), model)
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     return scored.select(F.col("doc_id").cast("long"), (bucket("doc_id", 5) == 0).alias("held_out"), "score", predicted, flagged(model, "score", "lang").alias("flagged"))
