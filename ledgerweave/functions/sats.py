@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,12 +45,9 @@ def _start_array() -> Column:
 
 def epoch(sat: Column) -> Column:
     """The halving epoch of a sat; 0 past the last, as beyond all of them."""
-    # what is left to make halves with each epoch; the logarithm may be one off at a border, where the exact starts decide
-    whole = 2 * HALVING * FIRST_SUBSIDY
-    near = F.floor(F.log2(F.lit(float(whole)) / (F.lit(whole) - F.least(sat, F.lit(_starts()[-1] - 1))).cast("double"))).cast("int")
-    near = F.greatest(F.lit(0), F.least(near, F.lit(EPOCHS - 1)))
-    up, down = sat >= F.element_at(_start_array(), near + 2), sat < F.element_at(_start_array(), near + 1)
-    return F.when(sat < _starts()[-1], F.when(up, near + 1).when(down, near - 1).otherwise(near)).otherwise(0)
+    # a sum of comparisons with fixed starts: compiled with the rest of the row's expressions, exact in the late, floored epochs too
+    passed = [(sat >= start).cast("int") for start in _starts()[1:-1]]
+    return F.when(sat < _starts()[-1], reduce(add, passed)).otherwise(0)
 
 
 def height(sat: Column) -> Column:
