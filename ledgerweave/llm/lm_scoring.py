@@ -25,6 +25,8 @@ WIDTH = 24
 NOISE = 32
 BATCH = 4096
 RATE = 0.05
+#: Tasks whose parameters are summed in one.
+FAN_IN = 16
 #: Distinct words that a task counts before it hands them on.
 FLUSH_WORDS = 300_000
 
@@ -210,7 +212,7 @@ class Trainer:
 def train(model: Model, docs: DataFrame) -> Model:
     """Train on every token of docs (text): tasks train on their own part from one start, and the mean by tokens is taken.
 
-    Parameters are summed in two steps, so neither a task nor the driver gets those of more than about sqrt(tasks) tasks.
+    Parameters are summed level by level, so neither a task nor the driver gets those of many more than FAN_IN tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("p", pa.binary()), ("n", pa.int64())])
@@ -240,9 +242,11 @@ def train(model: Model, docs: DataFrame) -> Model:
         if n:
             yield record(schema, p=[total.tobytes()], n=[n])
 
-    parts = docs.select("text").mapInArrow(run, "p binary, n long")
-    few = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
-    sums = parts.repartition(few).mapInArrow(add, "p binary, n long").collect()
+    parts, left = docs.select("text").mapInArrow(run, "p binary, n long"), docs.rdd.getNumPartitions()
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        parts = parts.repartition(left).mapInArrow(add, "p binary, n long")
+    sums = parts.collect()
     start = model.start()
     if sums:
         flat = sum(np.frombuffer(r["p"], np.float64) for r in sums) / sum(r["n"] for r in sums)
