@@ -19,8 +19,6 @@ LINE_DOCUMENTS = 20
 LINE_SHARE = 0.005
 #: A document is depleted where its other lines hold less than this percentage of its words.
 LEAST_LEFT_PERCENT = 30
-#: Of how many longest lines the least hash stands for a document when distinct documents are counted.
-WITNESSES = 4
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -56,30 +54,23 @@ def measure(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words)
 
 
-def line_hashes(text: bytes) -> dict[int, int]:
-    """Words of each distinct normalised line, by hash, counting every time that it stands in the text."""
-    out: dict[int, int] = {}
-    for line in text.split(b"\n"):
-        line = normalised(line)
-        if line:
-            key = xxhash.xxh64_intdigest(line) - (1 << 63)
-            out[key] = out.get(key, 0) + line.count(b" ") + 1
-    return out
-
+def line_hashes(text: bytes) -> tuple[int, dict[int, int]]:
+    """A hash of all normalised lines in order, and the words of each distinct one, by hash, counting every time that it stands in the text.
 
-def witnesses(lines: dict[int, int]) -> list[int]:
-    """For each line, what stands for the document when documents with that line are counted: the least hash of its longest other lines.
-
-    Exact copies have equal witnesses and count once, near copies mostly so: a group of copies doesn't condemn its own lines.
+    The first stands for the document when distinct documents are counted: only copies share it, whatever lines they have.
     """
-    longest = sorted(lines, key=lambda h: (-lines[h], h))[: WITNESSES + 1]
-    return [min([h for h in longest if h != line][:WITNESSES], default=0) for line in lines]
+    out: dict[int, int] = {}
+    lines = [x for x in map(normalised, text.split(b"\n")) if x]
+    for line in lines:
+        key = xxhash.xxh64_intdigest(line) - (1 << 63)
+        out[key] = out.get(key, 0) + line.count(b" ") + 1
+    return xxhash.xxh64_intdigest(b"\n".join(lines)) - (1 << 63), out
 
 
 _MEASURED = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("hash", pa.int64())]
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("hash", pa.int64()), ("document", pa.int64())]
     + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("witness", pa.int64())])))]
+    + [("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())])))]
 )
 
 
@@ -87,7 +78,7 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """A row for each row of docs (doc_id, text, host): row, doc_id, hash, the base counts, base_failed, kept, and removed.
 
     base_failed: under 50 words, or over half of them inside 3-word windows that the text repeats. removed: hashes of the
-    text's lines that more than max(20, 0.5 % of the host's documents) distinct documents of the host hold. kept: neither
+    text's lines that more than max(20, 0.5 % of the host's documents) distinct documents of the host hold, copies in all normalised lines being one. kept: neither
     base_failed nor depleted, that is with under 30 % of its words in other lines. A null text has no words and fails;
     null hosts are one host. hash is of the text and host; rows that agree in doc_id and hash have the same verdict.
     """
@@ -96,26 +87,24 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
         for batch in slices(batches):
             data = utf8(batch, "text")
             counted = list(zip(*map(measure, data), strict=True)) or [[]] * 5
-            lines = []
-            for text in data:
-                found = line_hashes(text)
-                lines.append([{"line": h, "words": n, "witness": w} for (h, n), w in zip(found.items(), witnesses(found), strict=True)])
+            found = [line_hashes(text) for text in data]
+            lines = [[{"line": h, "words": n} for h, n in held.items()] for _, held in found]
             base = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), map(list, counted), strict=True))
-            yield record(_MEASURED, row=batch.column("row"), doc_id=batch.column("doc_id"), host=batch.column("host"), hash=batch.column("hash"), lines=lines, **base)
+            yield record(_MEASURED, row=batch.column("row"), doc_id=batch.column("doc_id"), host=batch.column("host"), hash=batch.column("hash"), document=[d for d, _ in found], lines=lines, **base)
 
     own = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.xxhash64(F.coalesce("text", F.lit("")), F.col(host).cast("string")).alias("hash"), "text",
     )
-    counts = ", ".join(f"{n} long" for n in _MEASURED.names[4:9])
-    measured = stored(own.mapInArrow(run, f"row long, doc_id long, host string, hash long, {counts}, lines array<struct<line: long, words: int, witness: long>>"))
+    counts = ", ".join(f"{n} long" for n in _MEASURED.names[5:10])
+    measured = stored(own.mapInArrow(run, f"row long, doc_id long, host string, hash long, document long, {counts}, lines array<struct<line: long, words: int>>"))
 
-    lines = measured.select("row", "host", F.inline("lines"))
+    lines = measured.select("row", "host", "document", F.inline("lines"))
     limits = measured.groupBy("host").agg(F.greatest(F.lit(LINE_DOCUMENTS), F.count("*") * F.lit(LINE_SHARE)).alias("limit"))
-    held = lines.groupBy("host", "line", "witness").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.sum("one").alias("documents"))
+    held = lines.groupBy("host", "line", "document").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.sum("one").alias("documents"))
     frequent = held.where(F.col("documents") > LINE_DOCUMENTS).join(limits, "host").where("documents > limit").select("host", "line")
     removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("removed"))
-    judged = measured.drop("lines", "host").join(removed, "row", "left")
+    judged = measured.drop("lines", "host", "document").join(removed, "row", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     return judged.select(

@@ -212,6 +212,26 @@ def test_boilerplate_lines(spark):
     assert all("common" not in r.text for r in quality_rules.apply_rules(docs).where("doc_id < 1000").collect())
 
 
+def test_lines_of_a_template_count_every_document(spark):
+    def line(name, n):
+        return " ".join(f"{name}x{j}" for j in range(n))
+
+    shared = {"wide": [line(f"wide{a}", 20) for a in range(6)], "few": [line(f"few{a}", 20) for a in range(6)]}
+    pages = [(k, [*shared["wide"], line(f"short{k}", 9)]) for k in range(40)] + [(100 + k, [*shared["wide"], *(line(f"own{k}x{a}", 10) for a in range(9))]) for k in range(5)]
+    pages += [(200 + k, [*shared["few"], line(f"rare{k % 20}", 9)]) for k in range(60)]
+    rows = [(d, "\n".join(x.upper() + "  " if d % 3 else x for x in lines), "h") for d, lines in pages]
+    holders = {}
+    for _, lines in pages:
+        for x in lines:
+            holders.setdefault(x, set()).add(tuple(lines))
+    gone = {x for x, held in holders.items() if len(held) > 20}
+    want = {d: 100 * sum(len(x.split()) for x in lines if x not in gone) >= 30 * sum(len(x.split()) for x in lines) for d, lines in pages}
+    assert gone == set(shared["wide"])
+    assert set(want.values()) == {True, False}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()} == want
+
+
 def test_near_duplicates(docs, none):
     prints = stored(simhash_dedup.fingerprints(docs))
     out = simhash_dedup.near_duplicates(prints).collect()
