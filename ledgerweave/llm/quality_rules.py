@@ -14,9 +14,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
 SYMBOLS = b"#*$%&|<>"
-#: A line is boilerplate where more distinct documents of its host hold it than this, and than this share of the host's documents.
+#: A line is boilerplate where more distinct documents of its host hold it than this, however large the host.
 LINE_DOCUMENTS = 20
-LINE_SHARE = 0.005
 #: A document is depleted where its other lines hold less than this percentage of its words.
 LEAST_LEFT_PERCENT = 30
 
@@ -78,9 +77,9 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """A row for each row of docs (doc_id, text, host): row, doc_id, hash, the base counts, base_failed, kept, and removed.
 
     base_failed: under 50 words, or over half of them inside 3-word windows that the text repeats. removed: hashes of the
-    text's lines that more than max(20, 0.5 % of the host's documents) distinct documents of the host hold, copies in all normalised lines being one. kept: neither
-    base_failed nor depleted, that is with under 30 % of its words in other lines. A null text has no words and fails;
-    null hosts are one host. hash is of the text and host; rows that agree in doc_id and hash have the same verdict.
+    text's lines that more than 20 distinct documents of the host hold; texts with the same normalised lines are one. kept:
+    neither base_failed nor depleted, that is with under 30 % of its words in other lines. A null text has no words and
+    fails; null hosts are one host. hash is of the text and host; rows that agree in doc_id and hash have the same verdict.
     """
 
     def run(batches):
@@ -100,9 +99,8 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     measured = stored(own.mapInArrow(run, f"row long, doc_id long, host string, hash long, document long, {counts}, lines array<struct<line: long, words: int>>"))
 
     lines = measured.select("row", "host", "document", F.inline("lines"))
-    limits = measured.groupBy("host").agg(F.greatest(F.lit(LINE_DOCUMENTS), F.count("*") * F.lit(LINE_SHARE)).alias("limit"))
     held = lines.groupBy("host", "line", "document").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.sum("one").alias("documents"))
-    frequent = held.where(F.col("documents") > LINE_DOCUMENTS).join(limits, "host").where("documents > limit").select("host", "line")
+    frequent = held.where(F.col("documents") > LINE_DOCUMENTS).select("host", "line")
     removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("removed"))
     judged = measured.drop("lines", "host", "document").join(removed, "row", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)

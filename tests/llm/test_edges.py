@@ -232,6 +232,17 @@ def test_lines_of_a_template_count_every_document(spark):
     assert {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()} == want
 
 
+def test_boilerplate_does_not_depend_on_the_size_of_the_host(spark):
+    banner = " ".join(f"banner{j}" for j in range(60))
+    hosts = ("copied", "large", "small", "rare")
+    rows = [(100 * a + k, f"{banner}\nown{k % 20 if host == 'rare' else k}", host) for a, host in enumerate(hosts) for k in range(25)]
+    rows += [(1000, "copy", "copied")] * 6000 + [(1000, f"text{k}", "large") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality_rules.judge(docs).where("doc_id < 1000").collect()
+    kept = {host: {r.kept for r in out if r.doc_id // 100 == a} for a, host in enumerate(hosts)}
+    assert kept == {"copied": {False}, "large": {False}, "small": {False}, "rare": {True}}
+
+
 def test_near_duplicates(docs, none):
     prints = stored(simhash_dedup.fingerprints(docs))
     out = simhash_dedup.near_duplicates(prints).collect()
