@@ -29,7 +29,8 @@ def cut_pieces(docs: DataFrame, limit: int = SEQUENCE_TOKENS, tokenizer: str = W
     """doc_id, piece, start, length, ids_crc32 for each piece of each row of docs (doc_id, text).
 
     A document is its token ids and then the separator. Only documents longer than limit are cut, into pieces of limit.
-    A null or empty text is one piece with the separator alone. Repeated rows are packed as often as they come.
+    A null or empty text is one piece with the separator alone. Repeated rows are packed as often as they come. Strings of
+    special tokens in a text get those tokens' ids, as the tokenizer's file has it. doc_id is of any integer type.
     """
 
     def cut(batches):
@@ -213,4 +214,5 @@ def pack(docs: DataFrame, limit: int = SEQUENCE_TOKENS, tokenizer: str = WORD_BP
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(read(spark, sf_dir, "documents"))

@@ -20,13 +20,16 @@ DTYPE = "<u2"
 def write_flat(docs: DataFrame, tokenizer: str = WORD_BPE, end: int = END_OF_TEXT, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """file, block, tokens (bytes), and doc_ids of the documents that end in the block, for docs (doc_id, text).
 
-    The files hold nothing but ids and, after each document, end. doc_ids is for naming results; the scan doesn't read it.
+    The files hold nothing but ids and, after each document, end. Strings of special tokens in a text are ordinary text
+    here, so that no text can forge an end. doc_ids is for naming results; the scan doesn't read it. Null and empty texts
+    are the end alone; repeated rows are written as often as they come; an empty table gives no blocks. An id that dtype
+    can't hold raises a ValueError.
     """
     schema = pa.schema([("file", pa.string()), ("block", pa.int32()), ("tokens", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
-    width = np.dtype(dtype).itemsize
+    width, most = np.dtype(dtype).itemsize, np.iinfo(dtype).max
 
     def run(batches):
-        tok, size = word_tokenizer(tokenizer), block_tokens * width
+        tok, size = word_tokenizer(tokenizer, plain=True), block_tokens * width
         task, file, block, held, held_bytes, ended = TaskContext.get().partitionId(), 0, 0, [], 0, []
 
         def blocks(final: bool):
@@ -43,7 +46,10 @@ def write_flat(docs: DataFrame, tokenizer: str = WORD_BPE, end: int = END_OF_TEX
 
         for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
-                ids = np.frombuffer(tok.ids(text) + np.array([end], "<u4").tobytes(), "<u4").astype(dtype).tobytes()
+                ids = np.frombuffer(tok.ids(text) + np.array([end], "<u4").tobytes(), "<u4")
+                if ids.max() > most:
+                    raise ValueError(f"token id {ids.max()} does not fit {dtype}")
+                ids = ids.astype(dtype).tobytes()
                 held.append(ids)
                 held_bytes += len(ids)
                 ended.append((doc_id, held_bytes))

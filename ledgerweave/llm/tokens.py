@@ -41,14 +41,15 @@ class WordTokenizer:
     """ids(text) equals the tokenizer's encode(text, add_special_tokens=False), as little-endian 32-bit bytes.
 
     The vocabulary drops white space and never merges across it, so ids of a text are those of its words joined.
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text get those tokens' ids, as the file has it; with plain they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = path.endswith(WORD_BPE)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -72,12 +73,12 @@ class WordTokenizer:
         return found
 
     def ids(self, text: str) -> bytes:
-        if not self.by_word or _RARE.search(text):
+        if not self.by_word or _RARE.search(text) or any(t in text for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known = self.words.get
         return b"".join([known(w) if w in self.words else self._word(w) for w in text.split()])
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(name: str) -> WordTokenizer:
-    return WordTokenizer(tokenizer_path(name))
+def word_tokenizer(name: str, plain: bool = False) -> WordTokenizer:
+    return WordTokenizer(tokenizer_path(name), plain)
