@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,24 +28,30 @@ RATE = 0.03
 #: Pages labelled side by side.
 PAGES = 64
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_MATH = "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mpadded semantics"
+INLINE = frozenset(f"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr {_MATH}".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-HIDDEN_TAGS = frozenset("script style noscript template textarea select title svg iframe object audio video canvas math head".split())
+HIDDEN_TAGS = frozenset("script style noscript template textarea select title svg iframe object audio video canvas head annotation annotation-xml".split())
 #: What an opening tag ends when it is still open, up to the given parents.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile("[\"'>]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_UPPERS = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de\u0391-\u03a9\u0400-\u042f]+")
+_NUMBERS = re.compile("[0-9]+")
+#: Names at the end of a path that also count by themselves.
+NEAR_NAMES = 4
 
 
 @dataclass
 class Block:
-    """A run of text between the borders of block elements."""
+    """A run of text between the borders of block elements. path: hash buckets of the names of the elements around it."""
 
-    path: tuple[str, ...]
+    path: list[int]
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -60,11 +67,101 @@ def names_of(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """start, end, closing, name and attributes of each tag, in order; comments and declarations have an empty name.
+
+    A tag ends at the first > outside quotes or, if a quote is never closed, at the first > at all. A < without any > after
+    it is text. Whoever gets a tag may send a place to go on from. The work is linear in the page: every quote from which
+    no end can be reached is remembered.
+    """
+    at, last, lost = 0, page.rfind(">"), set()
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            return
+        after = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            moved = yield at, end if end > 2 else len(page), False, "", ""
+            at = moved or (end if end > 2 else len(page))
+            continue
+        if at > last:
+            return
+        if after and after in "!?":
+            end = page.find(">", at) + 1
+            moved = yield at, end, False, "", ""
+            at = moved or end
+            continue
+        closing = after == "/"
+        name = _NAME.match(page, at + 1 + closing)
+        if name is None:
+            at += 1
+            continue
+        place, passed = name.end(), []
+        while True:
+            m = _QUOTE_OR_END.search(page, place)
+            if m is not None and m[0] == ">":
+                end = m.end()
+                break
+            closed = -1
+            if m is not None and m.start() not in lost:
+                passed.append(m.start())
+                closed = page.find(m[0], m.end())
+            if closed < 0:
+                lost.update(passed)
+                end = page.find(">", name.end()) + 1
+                break
+            place = closed + 1
+        moved = yield at, end, closing, name[0].lower(), page[name.end() : end - 1]
+        at = moved or end
+
+
+class _Open:
+    """The open elements, with the places of each tag and how often each path bucket is there."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.buckets: dict[int, int] = {}
+
+    def push(self, tag: str, attributes: str) -> None:
+        names = names_of(tag, attributes)
+        ids = tuple(zlib.crc32(n.encode()) % PATH_BUCKETS for n in names)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, names, ids))
+        for b in ids:
+            self.buckets[b] = self.buckets.get(b, 0) + 1
+
+    def cut(self, place: int) -> None:
+        for tag, _, ids in self.stack[place:]:
+            self.places[tag].pop()
+            for b in ids:
+                if self.buckets[b] == 1:
+                    del self.buckets[b]
+                else:
+                    self.buckets[b] -= 1
+        del self.stack[place:]
+
+    def innermost(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def path(self) -> list[int]:
+        near: list[str] = []
+        for _, names, _ in reversed(self.stack):
+            near[:0] = names
+            if len(near) >= NEAR_NAMES:
+                break
+        return [*self.buckets, *(zlib.crc32(b"^" + n.encode()) % PATH_BUCKETS for n in near[-NEAR_NAMES:])]
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks with text, in order. Character references are decoded and white space is one space; comments, scripts, styles and the like are gone."""
+    """The page's blocks with text, in order, in time linear in the page's length, however broken it is.
+
+    Character references are decoded and white space is one space; comments, scripts, styles and the like are gone.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    links, at, end, block = 0, 0, len(page), None
+    opened = _Open()
+    links, at, block = 0, 0, None
 
     def text(piece: str) -> None:
         nonlocal block
@@ -73,59 +170,54 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if piece.isspace():
                 return
-            block = Block(tuple(n for _, names in stack for n in names))
+            block = Block(opened.path())
             out.append(block)
         block.parts.append(piece)
         if links:
             block.linked += len(piece)
 
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "br":
+    tags = tags_of(page)
+    found = next(tags, None)
+    while found is not None:
+        start, end, closing, tag, attributes = found
+        text(page[at:start])
+        at, skip = end, None
+        if not tag:
+            pass
+        elif tag == "br":
             text(" ")
         elif tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
         elif closing:
             block = None
-            if tag in HIDDEN_TAGS:
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if tag not in HIDDEN_TAGS and opened.places.get(tag):
+                opened.cut(opened.places[tag][-1])
         elif tag in VOID:
             block = None
         elif tag == "head":
-            continue
+            pass
         elif tag in HIDDEN_TAGS:
             block = block if tag == "svg" else None
             if not attributes.endswith("/"):
-                found = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-                at = found.end() if found else end
+                close = re.compile(f"</{tag}(?![a-z0-9-])", re.I).search(page, at)
+                at = skip = (page.find(">", close.end()) + 1 if close else 0) or len(page)
         else:
             block = None
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            if opened.stack and opened.stack[-1][0] == "p":
+                opened.cut(len(opened.stack) - 1)
             if tag in ENDS:
                 ended, within = ENDS[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in within:
-                        break
-                    if stack[k][0] in ended:
-                        del stack[k:]
-                        break
-            if not attributes.endswith("/") and len(stack) < 200:
-                stack.append((tag, names_of(tag, attributes)))
+                place = opened.innermost(ended)
+                if place > opened.innermost(within):
+                    opened.cut(place)
+            if not attributes.endswith("/"):
+                opened.push(tag, attributes)
+        try:
+            found = next(tags) if skip is None else tags.send(skip)
+        except StopIteration:
+            found = None
+    text(page[at:])
     kept = []
     for b in out:
         b.text = " ".join(entities.unescape("".join(b.parts)).split())
@@ -140,7 +232,7 @@ def _shape(b: Block, k: int, n: int) -> list[float]:
     stops = sum(b.text.count(c) for c in ".!?,;:")
     return [
         np.log1p(size) / 8, min(1.0, b.linked / max(1, sum(map(len, b.parts)))), min(1.0, 5 * stops / words), float(b.text[-1] in ".!?\"'”»"), k / n, 1 - k / n,
-        sum(map(str.isupper, b.text[:200])) / min(size, 200), sum(map(str.isdigit, b.text[:200])) / min(size, 200), min(1.0, n / 50),
+        sum(map(len, _UPPERS.findall(b.text))) / size, sum(map(len, _NUMBERS.findall(b.text))) / size, min(1.0, n / 50),
     ]
 
 
@@ -156,8 +248,7 @@ class Encoded:
 def encode(blocks: list[Block]) -> Encoded:
     paths, words = [], []
     for b in blocks:
-        near = b.path[-4:]
-        paths.append(np.array([*(zlib.crc32(p.encode()) % PATH_BUCKETS for p in set(b.path)), *(zlib.crc32(b"^" + p.encode()) % PATH_BUCKETS for p in near)] or [0], np.int64))
+        paths.append(np.array(b.path or [0], np.int64))
         own = set(b.text.lower().split())
         words.append(np.array([zlib.crc32(w.encode()) % WORD_BUCKETS for w in sorted(own)], np.int64))
     n = len(blocks)
@@ -392,15 +483,20 @@ class Layouts:
         return (encode(blocks), np.array(marks, np.float32)) if blocks else None
 
 
+@lru_cache(maxsize=2)
 def train(pages: int = TRAIN_PAGES) -> BlockLabeller:
-    """A labeller trained on generated layouts; no table has labels for pages."""
+    """A labeller trained on generated layouts; no table has labels for pages. Deterministic, so it is fitted once in a process."""
     made = Layouts()
     rows = [r for r in (made.labelled() for _ in range(pages)) if r is not None]
     return BlockLabeller().fit(rows)
 
 
 def extract(pages: DataFrame, model: BlockLabeller | None = None) -> DataFrame:
-    """pages (html and others) with a column text: the main blocks of the whole page in order, joined by line feeds; empty if there are none. A null page is empty."""
+    """pages (html and others) with a column text: the main blocks of the whole page in order, joined by line feeds.
+
+    A page without main blocks, an empty one and a null have an empty text. A column text that pages has already is
+    replaced; all others stay. Broken markup is read as tags_of says; repeated rows come as often as they are there.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -416,5 +512,6 @@ def extract(pages: DataFrame, model: BlockLabeller | None = None) -> DataFrame:
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of the main text of every page."""
     found = extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
