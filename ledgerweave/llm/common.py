@@ -20,11 +20,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where both are unset, a temporary one is made if driver and tasks share a machine (a local master, as in tests); on a
+    cluster executors could not read that, so a ValueError is raised.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = context.getCheckpointDir().get()
     return folder
@@ -56,6 +62,29 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """name, with underscores before it until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def text_key(column: str) -> Column:
+    """A hash of a text; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def numbered(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The given columns with row, a number of each row (first: its place in its partition, which a retried task repeats)."""
+    return df.select(F.monotonically_increasing_id().alias("row"), *columns)
+
+
 def bucket(column: str, modulus: int) -> Column:
     """crc32 of the id's text modulo modulus; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus), F.lit(0))

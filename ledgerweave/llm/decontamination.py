@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import read, record, slices, stored, utf8
+from ledgerweave.llm.common import numbered, read, record, slices, stored, utf8
 
 WINDOW_WORDS = 10
 GRAM_WORDS = 6
@@ -64,108 +65,163 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class Index:
-    """A block of benchmark items: its words, and the sorted fingerprints with the item and place of each.
+    """A block of benchmark items: sorted fingerprints, and the distinct windows with the items that hold each.
 
-    Items of WINDOW_WORDS words or more keep the winnowed GRAM_WORDS-grams. Of shorter ones, all of whose words are one
-    window, the one gram of their own length is kept, by length.
+    Windows are runs of window words, and the whole of an item of fewer, by their length. Of long items' windows only the
+    winnowed gram-grams are searched for, and of short ones the one gram of their own length.
     """
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW_WORDS, gram: int = GRAM_WORDS):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW_WORDS, gram: int = GRAM_WORDS):
         self.window, self.gram = window, gram
         self.vocabulary: dict[bytes, int] = {}
-        self.ids = [i for i, _ in items]
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64) for _, words in items]
-        by_length: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
-        for k, words in enumerate(self.items):
-            n = gram if len(words) >= window else len(words)
-            hashes = gram_hashes(words, n)
-            at = winnow(hashes, window - gram + 1) if len(words) >= window else np.arange(1)
-            by_length.setdefault(0 if len(words) >= window else n, []).append((hashes[at], k, at))
-        self.tables = {}
-        for n, found in by_length.items():
-            hashes = np.concatenate([h for h, _, _ in found])
-            item = np.concatenate([np.full(len(h), k) for h, k, _ in found])
-            place = np.concatenate([at for _, _, at in found])
-            order = np.argsort(hashes, kind="stable")
-            self.tables[n] = hashes[order], item[order], place[order]
-
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Place in ids, item and place in the item of equal fingerprints, ordered by item and diagonal."""
-        for n, (table, item, place) in self.tables.items():
-            hashes = gram_hashes(ids, n or self.gram)
-            at = winnow(hashes, self.window - self.gram + 1) if n == 0 else np.arange(len(hashes))
-            at = at[hashes[at] != _NONE]
-            low, high = np.searchsorted(table, hashes[at]), np.searchsorted(table, hashes[at], "right")
-            hit = np.flatnonzero(high > low)
-            if len(hit):
-                times = (high - low)[hit]
-                p = np.repeat(at[hit], times)
-                t = np.repeat(low[hit] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                order = np.lexsort((p, p - place[t], item[t]))
-                yield from zip(p[order].tolist(), item[t][order].tolist(), place[t][order].tolist(), strict=True)
+        self.names = [name for name, _ in items]
+        ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64) for _, words in items]
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, words in enumerate(ids):
+            by_size.setdefault(min(len(words), window), []).append((k, words))
+        self.tables = {n: _Windows(n, gram if n == window else n, held) for n, held in by_size.items()}
+
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each window length: the length, the places in ids where a window of the block starts, and its number there."""
+        for n, table in self.tables.items():
+            at, kind = table.find(ids)
+            if len(at):
+                yield n, at, kind
 
     def spans(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """start, end, item of every maximal run of equal words that holds a window of the item."""
-        found, last = [], (-1, 0, -1)
-        for p, item, q in self.candidates(ids):
-            words = self.items[item]
-            if last[:2] == (item, p - q) and p < last[2]:
-                continue
-            back, most_back = 0, min(p, q)
-            while back < most_back and ids[p - back - 1] == words[q - back - 1]:
-                back += 1
-            on, most_on = 0, min(len(ids) - p, len(words) - q)
-            while on < most_on and ids[p + on] == words[q + on]:
-                on += 1
-            last = (item, p - q, p + max(on, 1))
-            if back + on >= min(self.window, len(words)):
-                found.append((p - back, p + on, item))
+        """start, end and item of each stretch of words that windows of the item cover, by item and start; windows that touch are one."""
+        found: list[tuple[int, int, int]] = []
+        for n, at, kind in self.hits(ids):
+            first, last = self.tables[n].holders(kind)
+            times = last - first
+            start = np.repeat(at, times)
+            item = self.tables[n].items[np.repeat(last - np.cumsum(times), times) + np.arange(times.sum())]
+            order = np.lexsort((start, item))
+            start, item = start[order], item[order]
+            new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (start[1:] > start[:-1] + n)])
+            ends = start[np.r_[new[1:] - 1, len(start) - 1]] + n
+            found += zip(start[new].tolist(), ends.tolist(), item[new].tolist(), strict=True)
         return found
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+class _Windows:
+    """The distinct windows of one length: a representative place of each, its items, and the fingerprints to meet them by."""
+
+    def __init__(self, size: int, gram: int, held: list[tuple[int, np.ndarray]]):
+        self.size, self.gram = size, gram
+        lengths = np.array([len(words) for _, words in held])
+        # items one after the other, 0 between them, so that no window crosses
+        self.words = np.concatenate([np.r_[words, 0] for _, words in held])
+        item = np.repeat(np.array([k for k, _ in held], np.int64), lengths + 1)
+        marks = [winnow(gram_hashes(words, gram), size - gram + 1) + s for (_, words), s in zip(held, np.cumsum(lengths + 1) - lengths - 1, strict=True)]
+        self.prints = np.unique(gram_hashes(self.words, gram)[np.concatenate(marks)])
+        self.salt = 0
+        while True:  # until equal hashes mean equal windows here; then one comparison with the representative is exact
+            hashes = self._hashes(self.words)
+            place = np.flatnonzero(hashes != _NONE)
+            keys, first, kind = np.unique(hashes[place], return_index=True, return_inverse=True)
+            if all((self.words[place + j] == self.words[place[first[kind]] + j]).all() for j in range(size)):
+                break
+            self.salt += 1
+        self.keys, self.place = keys, place[first]
+        pairs = np.unique(np.stack([kind, item[place]], 1), axis=0)
+        self.first, self.items = np.searchsorted(pairs[:, 0], np.arange(len(keys) + 1)), pairs[:, 1]
+
+    def _hashes(self, ids: np.ndarray) -> np.ndarray:
+        return gram_hashes(np.where(ids > 0, ids + (self.salt << 40), 0), self.size)
+
+    def holders(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.first[kind], self.first[kind + 1]
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ids where a window starts, in order, and which it is.
+
+        A place is looked at if a fingerprint of ids that lies in its window is one of the block's. Each is compared word by
+        word with one representative, so repetitive texts cost no more than others.
+        """
+        grams = gram_hashes(ids, self.gram)
+        at = winnow(grams, self.size - self.gram + 1)
+        at = at[grams[at] != _NONE]
+        near = np.searchsorted(self.prints, grams[at])
+        at = at[self.prints[np.minimum(near, len(self.prints) - 1)] == grams[at]]
+        if not len(at):
+            return at, at
+        starts = np.unique((at[:, None] - np.arange(self.size - self.gram + 1)).ravel())
+        starts = starts[(starts >= 0) & (starts <= len(ids) - self.size)]
+        hashes = np.full(len(starts), _NONE)
+        if len(starts):
+            words = ids[starts[:, None] + np.arange(self.size)]
+            hashes = self._hashes(words.ravel())[:: self.size][: len(starts)] if self.size > 1 else self._hashes(words.ravel())
+        kind = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        same = (hashes != _NONE) & (self.keys[kind] == hashes)
+        starts, kind = starts[same], kind[same]
+        for j in range(self.size):
+            same = ids[starts + j] == self.words[self.place[kind] + j]
+            starts, kind = starts[same], kind[same]
+        return starts, kind
+
+
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items with words, in blocks of about block_words. A longer item comes in parts that share window - 1 words, so no window is lost."""
     items, n = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         words = words_of((row[1] or "").encode())
-        if words:
-            if items and n + len(words) > block_words:
-                yield items
-                items, n = [], 0
-            items.append((row[0], words))
-            n += len(words)
+        step = max(block_words, 2 * window)
+        parts = [words[at : at + step + window - 1] for at in range(0, max(1, len(words) - window + 1), step)] if len(words) > step else [words]
+        for part in parts:
+            if part:
+                if items and n + len(part) > block_words:
+                    yield items
+                    items, n = [], 0
+                items.append((row[0], part))
+                n += len(part)
     yield items
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("__hash", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+
+
+def _search_blocks(keyed: DataFrame, benchmark: DataFrame, window: int, gram: int, block_words: int) -> Iterator[DataFrame]:
+    """What each block's search finds. With more than one block each result is written before the next block is sent out."""
+    context = keyed.sparkSession.sparkContext
+    blocks = _blocks(benchmark, window, block_words)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        yield _search(keyed, context.broadcast(Index(block, window, gram)))
+        return
+    while block is not None:
+        index = context.broadcast(Index(block, window, gram))
+        done = stored(_search(keyed, index))
+        index.destroy()
+        yield done
+        block, after = after, next(blocks, None)
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, starts, ends, items for each row of docs (doc_id, text): spans of words shared with benchmark items.
 
     Winnowing keeps the least of each window - gram + 1 successive gram hashes, so every shared run of window words has a
-    common fingerprint; runs are then compared word by word, so equal hashes of unequal words give nothing. A shorter
-    item is one window of all its words. Null texts have no words; items without words or with a null id name no item
-    (the latter still mark words). Repeated items are one item, repeated rows of docs come as often as they are there.
+    common fingerprint; the windows round it are then compared word by word, so equal hashes of unequal words give
+    nothing. A span is a stretch that windows of one item cover. A shorter item is one window of all its words. Null texts
+    have no words; items without words or with a null id name no item (the latter still mark words). Repeated items are
+    one item, repeated rows of docs come as often as they are there. doc_id is of any integer type, item_id of any type
+    with a text form; items holds that text.
 
     One block of the benchmark is held at a time; with several, each searches all documents and their spans are united.
     """
-    context = docs.sparkSession.sparkContext
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"), "text")
-    parts = []
-    for items in _blocks(benchmark, block_words):
-        parts.append(_search(keyed, context.broadcast(Index(items, window, gram))))
+    parts = list(_search_blocks(numbered(docs.select(F.col("doc_id").cast("long"), "text"), ("doc_id", "text")), benchmark, window, gram, block_words))
     if len(parts) == 1:
-        return parts[0].drop("__hash")
-    first, *rest = (stored(p) for p in parts)
-    out = first
-    for part in rest:  # a row for each distinct (doc_id, text): repeated rows have equal spans
-        more = part.groupBy("doc_id", "__hash").agg(*(F.first(c).alias(f"__{c}") for c in ("starts", "ends", "items")))
-        same = out["doc_id"].eqNullSafe(more["doc_id"]) & (out["__hash"] == more["__hash"])
-        out = out.join(more.drop("n_words"), same).select(out["doc_id"], out["__hash"], "n_words", *(F.concat(c, f"__{c}").alias(c) for c in ("starts", "ends", "items")))
-    return out.drop("__hash")
+        return parts[0].drop("row")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    united = (F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items"))
+    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *united).drop("row")
 
 
 def _search(keyed: DataFrame, index) -> DataFrame:
+    schema = pa.schema([_FOUND.field("row"), ("doc_id", pa.int64()), *list(_FOUND)[1:]])
+
     def run(batches):
         known = index.value
         lookup = known.vocabulary.get
@@ -180,10 +236,10 @@ def _search(keyed: DataFrame, index) -> DataFrame:
                 k = int(np.searchsorted(first, s, "right")) - 1
                 starts[k].append(s - int(first[k]))
                 ends[k].append(e - int(first[k]))
-                items[k].append(known.ids[item])
-            yield record(_FOUND, doc_id=batch.column("doc_id"), __hash=batch.column("__hash"), n_words=counts, starts=starts, ends=ends, items=items)
+                items[k].append(known.names[item])
+            yield record(schema, row=batch.column("row"), doc_id=batch.column("doc_id"), n_words=counts, starts=starts, ends=ends, items=items)
 
-    return keyed.mapInArrow(run, "doc_id long, __hash long, n_words long, starts array<int>, ends array<int>, items array<long>")
+    return keyed.mapInArrow(run, "row long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>")
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
@@ -200,7 +256,7 @@ def digest(found: DataFrame) -> DataFrame:
                 for s, e in sorted(zip(starts, ends, strict=True)):
                     n += max(0, e - max(s, upto))
                     upto = max(upto, e)
-                names = sorted({str(i) for i in items if i is not None})
+                names = sorted({i for i in items if i is not None})
                 hits.append(n)
                 n_items.append(len(names))
                 shas.append(hashlib.sha256(",".join(names).encode()).hexdigest())
@@ -209,19 +265,42 @@ def digest(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a window of any benchmark item; columns are those of docs."""
-    columns = docs.columns
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the rows that hold a window of any benchmark item; columns are those of docs, whatever their names and ids.
+
+    Null texts stay. Rows are filtered where they are, without a shuffle; with more than one block of the benchmark, what
+    one leaves is written before the next is sent out.
+    """
     context = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, BLOCK_WORDS):
-        found = _search(keyed.select(F.col("doc_id").cast("long"), "__hash", "text"), context.broadcast(Index(items)))
-        bad = found.where(F.size("starts") > 0).select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__bad")).distinct()
-        keyed = keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__id"]) & (keyed["__hash"] == bad["__bad"]), "left_anti")
-    return keyed.select(*columns)
+    blocks = _blocks(benchmark, window, block_words)
+    block, after = next(blocks), next(blocks, None)
+    while block is not None:
+        index = context.broadcast(Index(block, window, gram))
+        docs = docs.where(_clean(index)("text"))
+        if after is not None:
+            docs = stored(docs)
+            index.destroy()
+        block, after = after, next(blocks, None)
+    return docs
+
+
+def _clean(index):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = index.value
+        lookup = known.vocabulary.get
+        for batch in batches:
+            out = []
+            for text in batch:
+                ids = np.array([lookup(w, 0) for w in words_of((text or "").encode())], np.int64)
+                out.append(next(known.hits(ids), None) is None)
+            yield pd.Series(out, dtype=bool)
+
+    return clean
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     return digest(find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
