@@ -95,11 +95,11 @@ def test_classifiers(docs, none, labels):
 
 def test_language(docs, none):
     parser = language_id.train(docs)
-    out = language_id.predict(docs, parser).select("doc_id", "__language.*").collect()
+    out = language_id.predict(docs, parser).select("doc_id", "language.*").collect()
     assert {r.lang_pred for r in out if r.doc_id in (2, 3, 5, 7)} == {"und"}
     assert {r.lang_pred for r in out if r.doc_id == 1} <= {"en", "de"}
     empty = language_id.train(none)
-    assert {r.lang for r in language_id.predict(docs, empty).select("__language.lang_pred").toDF("lang").collect()} == {"und"}
+    assert {r.lang for r in language_id.predict(docs, empty).select("language.lang_pred").toDF("lang").collect()} == {"und"}
 
 
 def test_phrases_are_longest_matches():
@@ -122,8 +122,22 @@ def test_phrases_are_longest_matches():
     make = lambda n: "".join(rng.choice(list("abcd"), n))
     reference = make(300)
     parser = language_id.Parser.fit({"x": [reference]})
-    for text in (make(200), make(500)):
-        assert parser.phrases([text])[0][0, 0] == brute(text, reference)
+    for text in (make(200), make(500), make(3000), "ab" * 900, "a" * 2000, "x" * 700, make(600) + "é" * 3 + make(700)):
+        coded = "".join(map(chr, language_id.symbols(text, parser.letters)))
+        own = "".join(map(chr, language_id.symbols(reference, parser.letters)))
+        assert parser.phrases([text])[0][0, 0] == brute(coded, own)
+
+
+def test_phrases_over_many_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcé"), n)) for n in (0, 1, 30, 400, 900)] + ["abc" * 200, "a" * 333, "\u4e2d\u6587" * 50]
+    parser = language_id.Parser.fit({"x": ["".join(rng.choice(list("abc"), 500)) + "a" * 40 + "abc" * 9], "y": ["\u4e2d\u6587\u5b57" * 9]})
+    whole = parser.phrases(texts)[0].tolist()
+    for block, wave in ((7, 3), (16, 1), (5, 1000)):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        monkeypatch.setattr(language_id, "WAVE", wave)
+        assert parser.phrases(texts)[0].tolist() == whole
+    assert language_id.Parser.fit({"a": ["\u4e2d" * 30 + "abc" * 40], "b": ["\u6587" * 30 + "abc" * 40]}).predict(["\u4e2d" * 9, "\u6587" * 9])[0] == ["a", "b"]
 
 
 PAGES = [
