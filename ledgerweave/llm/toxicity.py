@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.common import SLICE_ROWS, bucket, read
 
-#: Labelled rows that the model is fitted on at most, drawn by the hash of their ids, and the longest text among them.
+#: Labelled rows drawn at most, by the hash of their ids. One in CALIBRATION of them isn't fitted on but sets the thresholds.
 TRAIN_ROWS = 8000
-TRAIN_CHARS = 16_000
+CALIBRATION = 5
 BUCKETS = 1 << 17
 WIDTH = 12
 #: A word is embedded as a whole and by its first bytes, so that forms of one stem share what is learned.
@@ -158,29 +158,35 @@ class TextConvolution:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> TextConvolution:
-    """Fit on the texts of at most rows labels, drawn by the hash of doc_id; of those, texts of at most TRAIN_CHARS characters.
+    """Fit on the whole texts of at most rows labels, drawn by the hash of doc_id.
 
-    docs: doc_id, text, lang; labels: doc_id and the label. lang only serves the thresholds. Rows with a null label, id or
-    text teach nothing; without rows every text gets the same low score. The drawn labels, no more than rows, are
-    broadcast, so that only their texts are shuffled; of rows with one id, the least text counts.
+    docs: doc_id, text, lang; labels: doc_id and the label. One drawn row in CALIBRATION is held out: the model's scores of
+    these set the thresholds by language. lang only serves those. Rows with a null label or id teach nothing; without rows
+    every text gets the same low score. The drawn labels, no more than rows, are broadcast, so that only their texts are
+    shuffled, and these come to the driver; of rows with one id, the least text counts.
     """
     drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    chosen = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text", "lang").join(F.broadcast(drawn), "doc_id")
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(drawn), "doc_id")
     least = chosen.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("d"))
-    found = least.select("doc_id", "y", F.col("d.text").cast("binary").alias("text"), "d.lang").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    held = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(CALIBRATION)) == 0
+    found = least.select("doc_id", "y", F.col("d.text").cast("binary").alias("text"), "d.lang", held.alias("held")).toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     model = TextConvolution()
     if found.num_rows:
         cache: dict[bytes, tuple[int, ...]] = {}
         texts, y = [words_of(t, cache) for t in found.column("text").to_pylist()], found.column("y").to_numpy().astype(np.float64)
-        model.fit(texts, y)
-        scores = np.concatenate([model.scores(texts[at : at + SLICE_ROWS]) for at in range(0, len(texts), SLICE_ROWS)])
-        model.calibrate(scores, y, found.column("lang").to_pylist())
+        held, langs = found.column("held").to_numpy(zero_copy_only=False), found.column("lang").to_pylist()
+        if not held.all():
+            model.fit([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
+        if held.any():
+            kept = [t for t, h in zip(texts, held, strict=True) if h]
+            scores = np.concatenate([model.scores(kept[at : at + SLICE_ROWS]) for at in range(0, len(kept), SLICE_ROWS)])
+            model.calibrate(scores, y[held], [x for x, h in zip(langs, held, strict=True) if h])
     return model
 
 
 def score(docs: DataFrame, model: TextConvolution, into: str = "score") -> DataFrame:
-    """docs with every column and the score (0 to 1, higher: toxic likelier) in the column into. Only the text is read, the whole of it; null is empty."""
+    """docs with every column and the score (0 to 1, higher: toxic likelier) in the column into, which is replaced if there. Only the text is read, the whole of it; null is empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -202,6 +208,7 @@ def flagged(model: TextConvolution, score_column: str, lang_column: str) -> Colu
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and flagged (by the language's threshold) of every document."""
     docs = read(spark, sf_dir, "documents")
     model = train(docs, read(spark, sf_dir, "labels").where(bucket("doc_id", 5) != 0))
     scored = score(docs.select("doc_id", "text", "lang"), model)
