@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from ledgerweave.llm.common import SLICE_ROWS, bucket, read
+from ledgerweave.llm.common import SLICE_ROWS, bucket, columns_of, read, record, slices, unused
 
-#: Labelled rows that the model is fitted on at most, drawn by the hash of their ids, and the longest text among them.
+#: Labelled rows that the model is fitted on at most, drawn by the hash of their ids.
 TRAIN_ROWS = 6000
-TRAIN_CHARS = 16_000
 WORD_BUCKETS = 1 << 15
 RANK = 6
 EPOCHS = 6
 THRESHOLD = 0.3
 STATISTICS = 14
+#: Places of metadata: values of text columns are hashed into them, each number has one.
+META_BUCKETS = 1024
+#: Metadata that the query reads beside the text.
+METADATA = ("n_chars",)
 
 _PUNCTUATION = b".,;:!?"
 _DIGITS = b"0123456789"
@@ -42,34 +47,50 @@ def statistics(text: bytes, words: list[bytes]) -> list[float]:
     ]
 
 
-def features(text: bytes, cache: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids and values of a text: its distinct hashed words, of equal weight and unit length, and its statistics."""
+def metadata_features(values: Sequence[str | None], columns: Sequence[tuple[str, bool]]) -> list[tuple[int, float]]:
+    """Feature ids and values of a row's metadata (as text). columns: name, and whether it is a number. Nulls give none."""
+    out = []
+    for value, (name, number) in zip(values, columns, strict=True):
+        if value is None:
+            continue
+        if not number:
+            out.append((WORD_BUCKETS + STATISTICS + zlib.crc32(f"{name}={value}".encode()) % META_BUCKETS, 1.0))
+            continue
+        size = float(value)
+        if size == size:
+            out.append((WORD_BUCKETS + STATISTICS + zlib.crc32(name.encode()) % META_BUCKETS, float(np.copysign(np.log1p(min(abs(size), 1e300)), size)) / 10))
+    return out
+
+
+def features(text: bytes, cache: dict[bytes, int] | None = None, more: Sequence[tuple[int, float]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Feature ids and values of a text: its distinct hashed words, of equal weight and unit length, its statistics, and more."""
     words = text.split()
     stats = statistics(text, words)
-    if cache is None:
-        ids = {zlib.crc32(w) % WORD_BUCKETS for w in set(words)}
-    else:
-        ids = set()
-        for w in set(words):
-            b = cache.get(w)
-            if b is None:
-                if len(cache) > 300_000:
-                    cache.clear()
-                b = cache[w] = zlib.crc32(w) % WORD_BUCKETS
-            ids.add(b)
-    hashed = np.fromiter(ids, np.int64, len(ids))
+    cache = {} if cache is None else cache
+    ids = set()
+    for w in set(words):
+        b = cache.get(w)
+        if b is None:
+            if len(cache) > 300_000:
+                cache.clear()
+            b = cache[w] = zlib.crc32(w) % WORD_BUCKETS
+        ids.add(b)
+    hashed = np.fromiter(sorted(ids), np.int64, len(ids))
     value = np.full(len(hashed), 1 / max(1, len(hashed)) ** 0.5)
-    return np.concatenate([hashed, WORD_BUCKETS + np.arange(STATISTICS)]), np.concatenate([value, stats])
+    return np.concatenate([hashed, WORD_BUCKETS + np.arange(STATISTICS), [k for k, _ in more]]).astype(np.int64), np.concatenate([value, stats, [v for _, v in more]])
 
 
 class FactorisationMachine:
-    """w0 + sum w x + the pairwise interactions of rank RANK, by the identity (sum v x)^2 - sum v^2 x^2 in linear time."""
+    """w0 + sum w x + the pairwise interactions of rank RANK, by the identity (sum v x)^2 - sum v^2 x^2 in linear time.
+
+    An unfitted model gives one half to every row. metadata: the columns that it reads beside the text.
+    """
 
-    def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        n = WORD_BUCKETS + STATISTICS
+    def __init__(self, seed: int = 7, metadata: Sequence[tuple[str, bool]] = ()):
+        self.seed, self.metadata = seed, tuple(metadata)
+        n = WORD_BUCKETS + STATISTICS + META_BUCKETS
         self.w0, self.w = np.zeros(1), np.zeros(n)
-        self.v = rng.normal(0, 0.05, (n, RANK)).astype(np.float32)
+        self.v = np.zeros((n, RANK), np.float32)
 
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if not rows:
@@ -85,6 +106,7 @@ class FactorisationMachine:
         return self.w0[0] + np.add.reduceat(self.w[ids] * x, starts) + pairs, ids, x, vx, total
 
     def fit(self, rows, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.08, decay: float = 1e-5) -> FactorisationMachine:
+        self.v = np.random.default_rng(self.seed).normal(0, 0.05, self.v.shape).astype(np.float32)
         rng = np.random.default_rng(11)
         grads = [np.full_like(p, 1e-6, dtype=np.float64) for p in (self.w0, self.w, self.v)]
         share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
@@ -107,53 +129,71 @@ class FactorisationMachine:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> FactorisationMachine:
-    """Fit on the texts of at most rows labels, drawn by the hash of doc_id; of those, texts of at most TRAIN_CHARS characters.
+def _metadata(columns: Sequence[str]) -> Column:
+    return F.array(*(F.col(c).cast("string") for c in columns)) if columns else F.array().cast("array<string>")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, metadata: Sequence[str] = ()) -> FactorisationMachine:
+    """Fit on the whole texts, and the named columns of docs, of at most rows labels, drawn by the hash of doc_id.
 
-    docs: doc_id, text; labels: doc_id and the label (0 or 1). Null labels or ids teach nothing. Without rows, or with one
-    label only, the model gives that label's share (0.5 without rows) to every text that has no learned feature.
-    The drawn labels, no more than rows, are broadcast, so that only their texts are
-    shuffled; of rows with one id, the least text counts.
+    docs: doc_id, text and metadata; labels: doc_id and the label (0 or 1). Null labels or ids teach nothing. Without rows
+    the model is unfitted; with one label only it leans to it for every text. The drawn labels, no more than rows, are
+    broadcast; of rows with one id, the least text counts, and only its features come to the driver.
     """
     drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    chosen = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    found = chosen.groupBy("doc_id", "y").agg(F.min("text").cast("binary").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    model = FactorisationMachine()
+    columns = [(c, isinstance(docs.schema[c].dataType, NumericType)) for c in metadata]
+    chosen = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), _metadata(metadata).alias("more")).alias("d")).join(F.broadcast(drawn), "doc_id")
+    least = chosen.groupBy("doc_id", "y").agg(F.min("d").alias("d")).select("doc_id", "y", F.col("d.text").cast("binary").alias("text"), "d.more")
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("ids", pa.list_(pa.int64())), ("x", pa.list_(pa.float64()))])
+
+    def run(batches):
+        for batch in slices(batches):
+            found = [features(t, None, metadata_features(m, columns)) for t, m in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True)]
+            yield record(schema, doc_id=batch.column("doc_id"), y=batch.column("y"), ids=[i for i, _ in found], x=[x for _, x in found])
+
+    found = least.select(F.col("doc_id").cast("long"), "y", "text", "more").mapInArrow(run, "doc_id long, y int, ids array<long>, x array<double>").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+    model = FactorisationMachine(metadata=columns)
     if found.num_rows:
-        model.fit([features(t) for t in found.column("text").to_pylist()], found.column("y").to_numpy().astype(float))
+        ids, x = (found.column(c).to_pylist() for c in ("ids", "x"))
+        model.fit([(np.array(i), np.array(v)) for i, v in zip(ids, x, strict=True)], found.column("y").to_numpy().astype(float))
     return model
 
 
 def score(docs: DataFrame, model: FactorisationMachine, into: str = "score") -> DataFrame:
     """docs with every column and the score (0 to 1, higher: label 1 likelier) in the column into, which it replaces if there.
 
-    Only the text is read for a score. Null texts are scored as empty ones.
+    Only the text and the model's metadata columns are read. Null texts are scored as empty ones; equal rows get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         cache: dict[bytes, int] = {}
-        for text in batches:
-            parts = [text.iloc[at : at + SLICE_ROWS] for at in range(0, len(text), SLICE_ROWS)]
-            out = [shared.value.scores([features((t or "").encode(), cache) for t in part]) for part in parts]
+        columns = shared.value.metadata
+        for text, more in batches:
+            parts = [slice(at, at + SLICE_ROWS) for at in range(0, len(text), SLICE_ROWS)]
+            rows = lambda part: zip(text.iloc[part], more.iloc[part], strict=True)  # noqa: B023, E731
+            out = [shared.value.scores([features((t or "").encode(), cache, metadata_features(m, columns)) for t, m in rows(part)]) for part in parts]
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    return docs.withColumn(into, F.pandas_udf(scored, "double")("text"))
+    return docs.withColumn(into, F.pandas_udf(scored, "double")(F.col("text"), _metadata([c for c, _ in model.metadata])))
 
 
 def _training(labels: DataFrame) -> DataFrame:
     return labels.where(bucket("doc_id", 5) != 0)
 
 
-def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the model trained on labels predicts to be good; columns are those of docs."""
-    model = train(docs, _training(labels))
-    return score(docs, model, "__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+def accept(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ()) -> DataFrame:
+    """The rows of docs that the model trained on labels predicts to be good; columns are those of docs, whatever their names."""
+    model = train(docs, _training(labels), metadata=metadata)
+    into = unused(docs.columns, "quality_score")
+    return score(docs, model, into).where(F.col(into) >= THRESHOLD).select(*columns_of(docs))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, from its text and n_chars."""
     docs = read(spark, sf_dir, "documents")
-    model = train(docs, _training(read(spark, sf_dir, "labels")))
-    scored = score(docs.select("doc_id", "text"), model, "score")
+    model = train(docs, _training(read(spark, sf_dir, "labels")), metadata=METADATA)
+    scored = score(docs.select("doc_id", "text", *METADATA), model, "score")
     return scored.select(F.col("doc_id").cast("long"), (bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
