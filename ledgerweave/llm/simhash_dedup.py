@@ -8,38 +8,75 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import read, record, slices, stored, utf8
+from ledgerweave.llm.common import read, record, slices, stored, text_key, unused, utf8
 
 RADIUS = 3
 SHINGLE_WORDS = 3
 SEED = 42
-#: Fingerprints in a tile.
-TILE = 8192
+#: Fingerprints in a tile. What moves for each comparison falls with it.
+TILE = 16_384
+#: Near copies: 64-bit words of a wide fingerprint, words of a shingle, and the least similarity of their shingle sets.
+WIDE_WORDS = 8
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+#: Differing bits of two wide fingerprints, and of their first words, that still link. Sets of Jaccard similarity 0.8 differ
+#: in about 77 of 512 bits; the README has what these limits catch.
+WIDE_RADIUS = 87
+FIRST_RADIUS = 18
+WIDE_TILE = 8192
 #: Below so many pairs, two tiles are compared without looking at their finer population counts.
 PLAIN_PAIRS = 8_000_000
 #: Pairs that numpy compares at once, so that they stay in the CPU's cache.
 BLOCK_PAIRS = 65_536
 
 
-def fingerprint_of(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+def shingle_hashes(text: bytes, shingle_words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of the lower-cased words, in order; of the whole sequence if it is shorter; none without words."""
     words = text.lower().split()  # bytes: lowers A-Z and splits on 0x20 and 0x09-0x0D only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) < shingle_words:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle_words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], "<u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = hashes[at : at + 65_536]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([digest(s, seed) for s in shingles], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """A row of 64-bit words whose bits are set in over half of the rows of hashes; zero without rows."""
+    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 16_320):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 16_320], "<u8").view(np.uint8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255  # sums of 255 rows fit a byte
+        counts += np.add.reduce(bits[:whole].reshape(-1, 255, bits.shape[1]), 1, dtype=np.uint8).sum(0, dtype=np.int64)
+        counts += np.add.reduce(bits[whole:], 0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint_of(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    return int(_majority(shingle_hashes(text, shingle_words, seed)[:, None])[0])
+
+
+def wide_fingerprint_of(text: bytes, shingle_words: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> tuple[bytes, int]:
+    """The majority bits of the text's distinct shingles, each hashed to so many words, and the number of those shingles."""
+    first = np.unique(shingle_hashes(text, shingle_words))
+    x = first[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x[:, 1:] = _mixed(x[:, 1:])
+    return _majority(x).tobytes(), len(first)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """The columns of keep, as longs, and fingerprint (its 64 bits as a long) for each row of docs; null and wordless texts have 0."""
+    """The columns of keep, as longs, and fingerprint (its 64 bits as a long) for each row of docs; null and wordless texts have 0.
+
+    Columns of keep are of integer types. Repeated rows come as often as they are there; an empty table gives no rows.
+    """
     schema = pa.schema([(n, pa.int64()) for n in (*keep, "fingerprint")])
 
     def run(batches):
@@ -141,6 +178,76 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return both.select("a", "b").mapInArrow(compare, "u long, v long")
 
 
+def wide_tile_links(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], radius: int, first_radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of a spanning forest of the links between two tiles of (prints, sizes); places in b follow those in a.
+
+    Prints link if they differ in radius bits at most and in first_radius of the first word, and the smaller size is at
+    least similarity times the larger, as it is for sets of that similarity.
+    """
+    (pa_, sa), (pb, sb) = a, b
+    parent = np.arange(len(pa_) + len(pb))
+    oa, ob = np.argsort(sa, kind="stable"), np.argsort(sb, kind="stable")
+    first_a, first_b, sizes = np.ascontiguousarray(pa_[oa, 0]), np.ascontiguousarray(pb[ob, 0]), sb[ob]
+    rows = 16
+    for at in range(0, len(oa), rows):
+        own = oa[at : at + rows]
+        low = int(np.searchsorted(sizes, np.floor(sa[own[0]] * similarity - 1e-6), "left"))
+        high = int(np.searchsorted(sizes, np.ceil(sa[own[-1]] / similarity + 1e-6), "right"))
+        for start in range(low, high, BLOCK_PAIRS // rows):
+            stop = min(high, start + BLOCK_PAIRS // rows)
+            hits = np.flatnonzero(np.bitwise_count(first_a[at : at + rows, None] ^ first_b[None, start:stop]) <= first_radius)
+            if not len(hits):
+                continue
+            i, j = own[hits // (stop - start)], ob[start + hits % (stop - start)]
+            apart = parent[i] != parent[j + len(pa_)]  # linked by others already
+            i, j = i[apart], j[apart]
+            near = np.minimum(sa[i], sb[j]) >= similarity * np.maximum(sa[i], sb[j]) - 1e-9
+            i, j = i[near], j[near]
+            near = np.bitwise_count(pa_[i] ^ pb[j]).sum(1, dtype=np.int64) <= radius
+            if near.any():
+                _join_components(parent, i[near], j[near] + len(pa_))
+    moved = np.flatnonzero(parent != np.arange(len(parent)))
+    return moved, parent[moved]
+
+
+def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS, first_radius: int = FIRST_RADIUS, similarity: float = SIMILARITY, tile: int = WIDE_TILE) -> DataFrame:
+    """u, v: links between the nodes of distinct (node, print, size) that connect all that wide_tile_links links.
+
+    Tiles hold prints of sizes within a factor of 1 / similarity; only tiles whose sizes can be that near, and whose
+    population counts come within the radius of each other, are compared. A band of many sizes is dealt over several tiles,
+    so no task gets more than two tiles at once.
+    """
+    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(float(np.log(1.01 / similarity)))).cast("int")
+    banded = distinct.select("node", "print", "size", band.alias("band"))
+    counts = banded.groupBy("band").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("subs"))  # some hundred rows at most
+    tiles = banded.join(F.broadcast(counts), "band").groupBy("band", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"))
+    tiles = stored(tiles.agg(F.collect_list(F.struct("node", "print", "size")).alias("held")))
+    ids = tiles.select("band", "sub")
+    others = counts.select(F.col("band").alias("other"), "subs")
+    pairs = ids.join(F.broadcast(others), F.col("other").between(F.col("band"), F.col("band") + 1))
+    pairs = pairs.select("band", "sub", "other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("osub")).where("other > band or osub >= sub")
+    both = pairs.join(tiles, ["band", "sub"]).withColumnRenamed("held", "a")
+    both = both.join(tiles.select(F.col("band").alias("other"), F.col("sub").alias("osub"), F.col("held").alias("b")), ["other", "osub"])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = [batch.column(c)[k].values for c in ("a", "b")]
+                nodes = [x.field("node").to_numpy() for x in sides]
+                prints = [np.frombuffer(b"".join(x.field("print").to_pylist()), "<u8").reshape(len(x), -1) for x in sides]
+                ones = [np.bitwise_count(p).sum(1, dtype=np.int64) for p in prints]
+                if max(ones[0].min() - ones[1].max(), ones[1].min() - ones[0].max()) > radius:
+                    continue
+                u, v = wide_tile_links(*((p, x.field("size").to_numpy()) for p, x in zip(prints, sides, strict=True)), radius, first_radius, similarity)
+                both_nodes = np.concatenate(nodes)
+                apart = both_nodes[u] != both_nodes[v]
+                if apart.any():
+                    yield record(schema, u=both_nodes[u[apart]], v=both_nodes[v[apart]])
+
+    return both.select("a", "b").mapInArrow(compare, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (u, v): root is the least node reachable.
 
@@ -177,27 +284,64 @@ def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(rooted.join(named, "root").select("fingerprint", "root", "component_id"), "fingerprint")
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    key = unused(docs.columns, "text_key")
+    return docs.withColumn(key, text_key("text")), key
+
+
+def _firsts(grouped: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose id and key are those of the first of each group (root) of grouped (doc_id, key, root, times)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"), F.col("times").alias("times"))
+    first = grouped.groupBy("root").agg(F.min(order).alias("first"))
+    own_id, own_key, times = (unused(docs.columns, n) for n in ("first_id", "first_key", "first_times"))
+    first = stored(first.select(F.col("first.id").alias(own_id), F.col("first.key").alias(own_key), F.col("first.times").alias(times)))
+    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key))).drop(own_id, own_key)
+    once = kept.where(F.col(times) == 1)
+    again = kept.where(F.col(times) > 1).dropDuplicates(["doc_id", key])
+    return once.unionByName(again).drop(times, key)
+
+
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the least doc_id, and of rows with that id the least text hash.
+    """docs with one row of each group of fingerprints within the radius: the least doc_id, and of rows with that id the least text hash.
+
+    Rows that agree in id and text are one document; one of them stays. Columns are those of docs, whatever their names. A
+    null id stays only in a group without other ids. doc_id is of any integer type. An empty table stays empty.
+    """
+    keyed, key = _keyed(docs)
+    prints = stored(fingerprints(keyed.select("doc_id", F.col(key).alias("key"), "text"), ("doc_id", "key")))
+    times = prints.groupBy("doc_id", "key", "fingerprint").agg(F.count("*").alias("times"))
+    return _firsts(near_duplicates(times, radius), keyed, key)
+
+
+def wide_fingerprints(docs: DataFrame, shingle_words: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> DataFrame:
+    """doc_id, key, print (binary) and size for each row of docs (doc_id, key, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("print", pa.binary()), ("size", pa.int32())])
+
+    def run(batches):
+        for batch in slices(batches):
+            found = [wide_fingerprint_of(t, shingle_words, words) for t in utf8(batch, "text")]
+            yield record(schema, doc_id=batch.column("doc_id"), key=batch.column("key"), print=[p for p, _ in found], size=[n for _, n in found])
+
+    return docs.select(F.col("doc_id").cast("long"), "key", "text").mapInArrow(run, "doc_id long, key long, print binary, size int")
+
+
+def deduplicate_near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, first_radius: int = FIRST_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near copies: five-word shingles, a similarity of 0.8 or more by wide fingerprints.
 
-    Rows that agree in id and text are one document; one of them stays. Columns are those of docs. A null id stays only
-    in a group without other ids.
+    Which row stays, and what becomes of nulls, repeated rows, ids and names of columns, is as in deduplicate. Texts
+    without words are copies of each other.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = stored(fingerprints(keyed, ("doc_id", "__hash")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__hash").alias("hash"))
-    first = near_duplicates(prints, radius).groupBy("root").agg(F.min(order).alias("first"))
-    first = first.select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__first"))
-    times = prints.groupBy("doc_id", "__hash").agg(F.count("*").alias("__times"))
-    first = stored(first.join(times, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__first") == F.col("__hash"))).select("__id", "__first", "__times"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["__id"]) & (keyed["__hash"] == first["__first"]))
-    once = kept.where("__times = 1")
-    again = kept.where("__times > 1").dropDuplicates(["doc_id", "__hash"])
-    return once.unionByName(again).select(*columns)
+    keyed, key = _keyed(docs)
+    prints = stored(wide_fingerprints(keyed.select("doc_id", F.col(key).alias("key"), "text")))
+    distinct = stored(prints.select("print", "size").distinct().withColumn("node", F.monotonically_increasing_id()))
+    roots = components(wide_links(distinct, radius, first_radius, similarity))
+    rooted = distinct.join(roots, "node", "left").select("print", "size", F.coalesce("root", "node").alias("root"))
+    times = prints.groupBy("doc_id", "key", "print", "size").agg(F.count("*").alias("times"))
+    return _firsts(times.join(rooted, ["print", "size"]), keyed, key)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document."""
     prints = stored(fingerprints(read(spark, sf_dir, "documents")))
     found = near_duplicates(prints)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -166,6 +166,28 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
+def shingles_of(text, k):
+    ws = words(lower(text))
+    return [" ".join(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))] if ws else []
+
+
+def wide_fingerprint(text):
+    hashes = {xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles_of(text, 5)}
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    out = []
+    for k in range(8):
+        own = [h if k == 0 else mixed((h + k * 0x9E3779B97F4A7C15) & mask) for h in hashes]
+        bits = np.unpackbits(np.array(own, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * bits > len(own), bitorder="little").view("<u8")[0]) if own else 0)
+    return out, len(hashes)
+
+
 def test_simhash(spark):
     docs = docs_of()
     prints = {d: fingerprint(t) for d, t in docs.items()}
@@ -199,9 +221,22 @@ def test_pipeline(spark):
         kept[name] = {r.doc_id: r.text for r in seen.collect()}
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert set(kept[names[3]]) <= set(kept[names[2]]) <= set(kept[names[1]]) <= set(kept[names[0]]) <= set(docs)
-    prints = {d: fingerprint(t) for d, t in kept[names[1]].items()}
-    left = [prints[d] for d in kept[names[2]]]
-    assert all((a ^ b).bit_count() > 3 for k, a in enumerate(left) for b in left[:k])
-    assert all(any((prints[d] ^ f).bit_count() <= 6 for f in left) for d in prints)
+    before, left = kept[names[1]], set(kept[names[2]])
+    wide = {d: wide_fingerprint(t) for d, t in before.items()}
+    root = {d: d for d in before}
+    sets = {d: set(shingles_of(t, 5)) for d, t in before.items()}
+    alike = {}
+    for x in sorted(before):
+        for y in sorted(before):
+            if x < y:
+                (f, m), (g, n) = wide[x], wide[y]
+                if 5 * min(m, n) >= 4 * max(m, n) and (f[0] ^ g[0]).bit_count() <= 18 and sum((p ^ q).bit_count() for p, q in zip(f, g, strict=True)) <= 87:
+                    rx, ry = root[x], root[y]
+                    root = {d: min(rx, ry) if r in (rx, ry) else r for d, r in root.items()}
+                if m and 5 * min(m, n) >= 4 * max(m, n):
+                    alike[x, y] = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    assert left == set(root.values())
+    assert not [pair for pair, j in alike.items() if j >= 0.85 and set(pair) <= left]
+    assert all(j > 0.6 for (x, y), j in alike.items() if y not in left and root[y] == x and sum(r == x for r in root.values()) == 2)
     packed = corpus_pipeline.run(spark, BIGGER).collect()
     assert {r.doc_id for r in packed} == set(kept[names[3]])

@@ -13,7 +13,7 @@ from ledgerweave.llm.tokens import WORD_BPE, word_tokenizer
 LONG = " ".join(f"word{k}" for k in range(30_000))
 PROSE = "the quick brown fox jumps over the lazy dog and runs along the river bank to the old stone bridge where nobody waits"
 ROWS = [(1, PROSE, "en"), (1, PROSE, "en"), (2, None, None), (3, "", "en"), (None, PROSE, "de"), (4, LONG, None), (5, " \t\n", "en"), (6, PROSE.replace("fox", "cat"), "en"), (7, "123 !!", "fr")]
-CLASH = ("row", "hash", "score", "kept", "rank", "chunk", "root", "block", "file", "words", "fingerprint", "component_id", "times", "limit", "html")
+CLASH = ("text_key", "first_times", "first_id", "first_key", "language", "quality_score", "removed", "key", "print", "size", "node", "a", "b", "c.d", "row", "hash", "score", "kept", "rank", "chunk", "root", "block", "file", "words", "fingerprint", "component_id", "times", "limit", "html")
 
 
 @pytest.fixture(scope="module")
@@ -268,6 +268,40 @@ def test_near_duplicates(docs, none):
     assert sorted(r.doc_id for r in kept.collect()) in ([1, 2, 4, 6, 7], [1, 2, 4, 7])
 
 
+def test_near_copies(spark, docs, none):
+    kept = simhash_dedup.deduplicate_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 6, 7]  # one word in 23 changes more than a fifth of the shingles
+    assert simhash_dedup.deduplicate_near_copies(none).count() == 0
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(5000)]
+    rows, group = [], []
+    for base in range(12):
+        text = list(rng.choice(words, int(rng.integers(60, 400))))
+        for _ in range(4):
+            changed = list(text)
+            for at in rng.integers(0, len(text), len(text) // 120):
+                changed[at] = "other"
+            rows.append((len(rows), " ".join(changed)))
+            group.append(base)
+    for tile in (1000, 5):
+        prints = stored(simhash_dedup.wide_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(0).cast("long"))))
+        distinct = stored(prints.withColumn("node", F.col("doc_id")).select("node", "print", "size"))
+        roots = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.wide_links(distinct, tile=tile)).collect()}
+        found = {d: roots.get(d, d) for d, _ in rows}
+        assert all((found[a] == found[b]) == (group[a] == group[b]) for a in found for b in found)
+    again = simhash_dedup.deduplicate_near_copies(spark.createDataFrame(rows + rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in again.collect()) == list(range(0, 48, 4))
+
+
+def test_majority_bits():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 254, 255, 256, 700, 17_000):
+        hashes = rng.integers(0, 2**63, (n, 2)).astype(np.uint64)
+        want = [sum(1 << b for b in range(64) if 2 * int((hashes[:, k] >> np.uint64(b) & np.uint64(1)).sum()) > n) for k in range(2)]
+        assert simhash_dedup._majority(hashes).tolist() == want
+
+
 def test_tiles():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 3000).astype(np.uint64)
