@@ -14,7 +14,7 @@ from ledgerweave.llm.common import read, stored
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labels of those in docs, by the same split as its query."""
-    return quality.accept(docs, read(spark, sf_dir, "labels"))
+    return quality.accept(docs, read(spark, sf_dir, "labels"), quality.METADATA)
 
 
 def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the least doc_id."""
-    return simhash_dedup.deduplicate(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the least doc_id."""
+    return simhash_dedup.deduplicate_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
