@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,6 +213,9 @@ class Trainer:
 def train(model: Model, docs: DataFrame) -> Model:
     """Train on every token of docs (text): tasks train on their own part from one start, and the mean by tokens is taken.
 
+    Each task's noise and order are seeded by its number, so the scores depend, slightly, on how the rows are dealt over
+    tasks; for the same partitions they are the same.
+
     Parameters are summed level by level, so neither a task nor the driver gets those of many more than FAN_IN tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -222,7 +226,7 @@ def train(model: Model, docs: DataFrame) -> Model:
         trainer = None
         for batch in slices(batches):
             if trainer is None:
-                trainer = Trainer(shared.value, 17)
+                trainer = Trainer(shared.value, 17 + TaskContext.get().partitionId())
             _, kinds, _, sizes = _streams(utf8(batch, "text"), lookup, classes)
             one, two = _contexts(kinds, sizes)
             order = trainer.rng.permutation(len(kinds))
@@ -299,6 +303,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, base_score and score of every document, learned from those that aren't held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     learn = docs.where(bucket("doc_id", 7) != 2)
     model, counts = gather(learn)
