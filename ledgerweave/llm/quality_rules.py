@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import read, record, slices, stored, utf8
+from ledgerweave.llm.common import columns_of, read, record, slices, stored, unused, utf8
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -16,6 +16,9 @@ WINDOW = 3
 SYMBOLS = b"#*$%&|<>"
 #: A line is boilerplate where more distinct documents of its host hold it than this, however large the host.
 LINE_DOCUMENTS = 20
+#: Boilerplate lines that are broadcast at most; more are joined by line and one of SALTS parts of the rows.
+BROADCAST_LINES = 500_000
+SALTS = 32
 #: A document is depleted where its other lines hold less than this percentage of its words.
 LEAST_LEFT_PERCENT = 30
 
@@ -80,6 +83,8 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     text's lines that more than 20 distinct documents of the host hold; texts with the same normalised lines are one. kept:
     neither base_failed nor depleted, that is with under 30 % of its words in other lines. A null text has no words and
     fails; null hosts are one host. hash is of the text and host; rows that agree in doc_id and hash have the same verdict.
+    doc_id is of any integer type; an empty table gives no rows. Lines are counted by distinct (host, line, document) and
+    then (host, line), both with partial aggregates, so one line in a third of all rows is no hot task.
     """
 
     def run(batches):
@@ -100,8 +105,13 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
     lines = measured.select("row", "host", "document", F.inline("lines"))
     held = lines.groupBy("host", "line", "document").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.sum("one").alias("documents"))
-    frequent = held.where(F.col("documents") > LINE_DOCUMENTS).select("host", "line")
-    removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("removed"))
+    frequent = stored(held.where(F.col("documents") > LINE_DOCUMENTS).select("host", "line"))
+    if frequent.count() <= BROADCAST_LINES:
+        gone = lines.join(F.broadcast(frequent), ["host", "line"])
+    else:
+        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        gone = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"])
+    removed = gone.groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("removed"))
     judged = measured.drop("lines", "host", "document").join(removed, "row", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
@@ -112,11 +122,12 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The kept rows of docs, without their boilerplate lines; a column n_chars follows the text. Columns are those of docs."""
-    verdicts = judge(docs, host).where("kept").groupBy("doc_id", "hash").agg(F.first("removed").alias("__removed"))
-    verdicts = verdicts.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__verdict"), "__removed")
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")), F.col(host).cast("string")))
-    kept = keyed.join(verdicts, keyed["doc_id"].cast("long").eqNullSafe(verdicts["__id"]) & (keyed["__hash"] == verdicts["__verdict"]))
+    """The kept rows of docs, without their boilerplate lines; a column n_chars follows the text. Columns are those of docs, whatever their names."""
+    verdicts = judge(docs, host).where("kept").groupBy("doc_id", "hash").agg(F.first("removed").alias("removed"))
+    own_id, own_hash, removed, key = (unused(docs.columns, n) for n in ("verdict_id", "verdict_hash", "removed", "text_key"))
+    verdicts = verdicts.select(F.col("doc_id").alias(own_id), F.col("hash").alias(own_hash), F.col("removed").alias(removed))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")), F.col(host).cast("string")))
+    kept = keyed.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_hash)))
 
     @F.pandas_udf("string")
     def without(text, removed):
@@ -128,11 +139,12 @@ def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
             out.append(t)
         return type(text)(out, dtype=object)
 
-    cleaned = kept.withColumn("text", F.when(F.size("__removed") > 0, without("text", "__removed")).otherwise(F.col("text")))
+    cleaned = kept.withColumn("text", F.when(F.size(removed) > 0, without("text", removed)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+    return cleaned.select(*columns_of(docs))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts, base_failed and kept of every document."""
     return judge(read(spark, sf_dir, "documents")).drop("row", "hash", "removed")
