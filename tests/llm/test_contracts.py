@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,9 +14,10 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerweave.llm import decontamination, registry
+from ledgerweave.llm import decontamination, html_extract, lm_scoring, packing, quality, quality_rules, registry, token_counts, toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
 BIGGER = "/root/testdata/sf0.01"
@@ -87,6 +89,105 @@ def test_lm_scoring(spark):
     assert gain[False] > 0
 
 
+def test_lm_scores_equal_plain_sums(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    model, counts = lm_scoring.gather(docs)
+    model = lm_scoring.train(model, docs)
+    r1, r2, q, b = (x.astype(np.float64) for x in model.parameters)
+    classes = {w: k if k < lm_scoring.HEAD_WORDS else lm_scoring.tail_class(w) for k, w in enumerate(model.words)}
+    inside = {}
+    count = Counter(w.encode() for t in docs_of().values() for w in words(lower(t)))
+    for w, n in count.items():
+        if classes.get(w, lm_scoring.tail_class(w)) > lm_scoring.END:
+            inside[lm_scoring.tail_class(w)] = inside.get(lm_scoring.tail_class(w), 1) + n + 1
+    found = {r.doc_id: r.score for r in lm_scoring.score(docs, model, counts).collect()}
+    for d, text in sorted(docs_of().items())[:12]:
+        one = two = lm_scoring.START
+        total = 0.0
+        for w in [*(x.encode() for x in words(lower(text))[:400]), None][: 401 if len(words(text)) <= 400 else 0]:
+            c = lm_scoring.END if w is None else classes.get(w, lm_scoring.tail_class(w))
+            raw = (r1[one] + r2[two]) @ q.T + b
+            total += (raw[c] - np.log(np.exp(raw - raw.max()).sum()) - raw.max()) / np.log(10)
+            if c > lm_scoring.END:
+                total += math.log10((count[w] + 1) / inside[c])
+            one, two = c, one
+        if len(words(text)) <= 400:
+            assert found[d] == pytest.approx(total, rel=1e-4)
+
+
+def test_special_token_strings(spark):
+    texts = {1: "a <|endoftext|> b", 2: "<|startoftext|>x<|endoftext|>", 3: "plain <|EndOfText|> text", 4: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in packing.pack(docs).collect()}
+    for d, text in texts.items():
+        ids = [*encode(text or ""), 0]
+        assert (out[d].length, out[d].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert encode(texts[1]) == [320, 49407, 321]
+    flat = token_counts.write_flat(docs)
+    assert token_counts.scan(flat).where("terminated").count() == len(texts)  # no text can forge an end
+    with pytest.raises(Exception, match="does not fit"):
+        token_counts.write_flat(docs, dtype="<u1").collect()
+
+
+def test_thresholds_come_from_held_out_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(rng.choice(["fine", "day", "tree", "vile" if k % 3 == 0 else "calm"], 12)), "xy"[k % 2]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert set(model.thresholds) == {"x", "y"}
+    scored = toxicity.score(docs, model)
+    flagged = scored.withColumn("flagged", toxicity.flagged(model, "score", "lang")).collect()
+    assert all(r.flagged == (r.score >= model.thresholds[r.lang]) for r in flagged)
+    assert sum(r.flagged == (r.doc_id % 3 == 0) for r in flagged) > 570
+    only = toxicity.train(docs, labels.where("toxic = 1"))
+    assert only.thresholds == {}
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs.limit(5), only).collect())
+
+
+def test_quality_reads_metadata(spark):
+    rows = [(k, "the same words in all of them", "good" if k % 2 else "bad", float(k % 2) * 1e6, None) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string, size double, nothing string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 400)], "doc_id long, quality int")
+    for metadata in (("kind",), ("size",), ("kind", "size", "nothing")):
+        model = quality.train(docs, labels, metadata=metadata)
+        out = quality.score(docs, model).collect()
+        assert min(r.score for r in out if r.doc_id % 2) > max(r.score for r in out if not r.doc_id % 2)
+        assert len({r.score for r in out}) == 2  # ties
+    plain = quality.score(docs, quality.train(docs, labels)).collect()
+    assert len({r.score for r in plain}) == 1
+    assert {r.score for r in quality.score(docs, quality.FactorisationMachine()).collect()} == {0.5}
+    one = quality.score(docs, quality.train(docs, labels.where("quality = 1"))).collect()
+    assert all(r.score > 0.9 for r in one)
+
+
+def test_broken_pages_take_linear_time():
+    for form in ("<a", '<a x="', "<a x='", "<!--", "<script>", "</script", "<div><p>", "<b>", "<td><div>", '<a x="\'>'):
+        began = time.process_time()
+        html_extract.blocks_of(form * (200_000 // len(form)))
+        html_extract.blocks_of(form * (200_000 // len(form)) + ">")
+        assert time.process_time() - began < 5
+    deep = "<div>" * 500 + "<nav><p>menu</p></nav><p>text</p>" + "</div>" * 500 + "<p>after</p>"
+    blocks = html_extract.blocks_of(deep)
+    assert [b.text for b in blocks] == ["menu", "text", "after"]
+    assert zlib.crc32(b"nav") % html_extract.PATH_BUCKETS in blocks[0].path
+    assert zlib.crc32(b"div") % html_extract.PATH_BUCKETS not in blocks[2].path
+    assert [b.text for b in html_extract.blocks_of("<p>let <math><mi>x</mi></math> be</p>")] == ["let x be"]
+
+
+def test_repetitive_texts_and_many_blocks(spark):
+    items = [(1, "w " * 300), (2, "a b c d e f g h i j k l"), (3, "x y"), (4, " ".join(f"n{k}" for k in range(400)))]
+    texts = [(1, "w " * 5000), (2, "z a b c d e f g h i j k l z"), (3, "x y x y"), (4, " ".join(f"n{k}" for k in range(100, 130))), (5, "w " * 9), (6, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("__hash", F.lit("text"))
+    for block_words in (2_000_000, 40):
+        found = decontamination.find_passages(docs, benchmark, block_words=block_words)
+        out = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.digest(found).collect()}
+        assert out == {1: (5000, 5000, 1), 2: (14, 12, 1), 3: (4, 4, 1), 4: (30, 30, 1), 5: (9, 0, 0), 6: (0, 0, 0)}
+        clean = decontamination.drop_contaminated(docs, benchmark, block_words=block_words)
+        assert sorted((r.doc_id, r["__hash"]) for r in clean.collect()) == [(5, "text"), (6, "text")]
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op3_toxicity", "toxic", 0.9), ("op7_quality_classifier", "quality", 0.97)])
 def test_classifiers(spark, name, label, least):
     sf_dir = "/root/testdata/sf0.1"
@@ -159,6 +260,36 @@ def test_quality_rules(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_line_frequencies_equal_brute_force(spark, monkeypatch):
+    table = pq.read_table(f"{BIGGER}/documents.parquet", columns=["doc_id", "text", "source"]).to_pylist()
+    lines_of = {r["doc_id"]: [x for x in (" ".join(words(line.lower())) for line in (r["text"] or "").split("\n")) if x] for r in table}
+    holders = {}
+    for r in table:
+        for line in lines_of[r["doc_id"]]:
+            holders.setdefault((r["source"], line), set()).add(tuple(lines_of[r["doc_id"]]))
+    limit = 2  # a limit that this table's shared lines exceed
+    monkeypatch.setattr(quality_rules, "LINE_DOCUMENTS", limit)
+    docs = spark.read.parquet(f"{BIGGER}/documents.parquet")
+    for broadcast in (quality_rules.BROADCAST_LINES, 0):
+        monkeypatch.setattr(quality_rules, "BROADCAST_LINES", broadcast)
+        out = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+        texts = {r.doc_id: r.text for r in quality_rules.apply_rules(docs).collect()}
+        removed = 0
+        for r in table:
+            d, lines = r["doc_id"], lines_of[r["doc_id"]]
+            gone = {x for x in lines if len(holders[r["source"], x]) > limit}
+            left = sum(len(x.split()) for x in lines if x not in gone)
+            n = sum(len(x.split()) for x in lines)
+            assert out[d].kept == (not out[d].base_failed and 100 * left >= 30 * n)
+            assert len(out[d].removed) == len(gone)
+            removed += len(gone)
+            assert (d in texts) == out[d].kept
+            if d in texts:
+                want = [line for line in r["text"].split("\n") if " ".join(words(line.lower())) not in gone]
+                assert texts[d].split("\n") == (want or [""])
+        assert removed > 20
+
+
 def fingerprint(text):
     ws = words(lower(text))
     shingles = [" ".join(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))] if ws else []
