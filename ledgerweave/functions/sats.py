@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,32 +42,66 @@ def _start_array() -> Column:
     return F.array(*(F.lit(s).cast("bigint") for s in _starts()))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def epoch(sat: Column) -> Column:
     """The halving epoch of a sat; 0 past the last, as beyond all of them."""
-    # a sum of comparisons with fixed starts: compiled with the rest of the row's expressions, exact in the late, floored epochs too
-    passed = [(sat >= start).cast("int") for start in _starts()[1:-1]]
-    return F.when(sat < _starts()[-1], reduce(add, passed)).otherwise(0)
+    starts = _starts()
+
+    def search(low: int, high: int) -> Column:  # exact in the late, floored epochs too
+        if high - low == 1:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(sat < starts[middle], search(low, middle)).otherwise(search(middle, high))
+
+    return F.when(sat < starts[-1], search(0, EPOCHS)).otherwise(0)
+
+
+def _placed(sat: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """then(height, whether the sat is the first of its block)."""
+
+    def of_epoch(e: Column) -> Column:
+        into = sat - F.element_at(_start_array(), e + 1)
+        each = subsidy(e * HALVING)
+        return F.struct((e * HALVING + F.floor(into / each)).cast("bigint").alias("height"), (into % each == 0).alias("first"))
+
+    return _let(_let(epoch(sat), of_epoch), lambda p: then(p["height"], p["first"]))
 
 
 def height(sat: Column) -> Column:
     """The block that made a sat in theory."""
-    e = epoch(sat)
-    return (e * HALVING + F.floor((sat - F.element_at(_start_array(), e + 1)) / subsidy(e * HALVING))).cast("bigint")
+    return _placed(sat, lambda h, first: h)
 
 
 def is_first_in_block(sat: Column) -> Column:
-    e = epoch(sat)
-    return (sat - F.element_at(_start_array(), e + 1)) % subsidy(e * HALVING) == 0
+    return _placed(sat, lambda h, first: first)
 
 
-def rarity(sat: Column) -> Column:
-    h, first = height(sat), is_first_in_block(sat)
+def _rarity(sat: Column, h: Column, first: Column) -> Column:
     return (
         F.when(sat == 0, "mythic").when(first & (h % CYCLE == 0), "legendary").when(first & (h % HALVING == 0), "epic")
         .when(first & (h % PERIOD == 0), "rare").when(first, "uncommon").otherwise("common")
     )
 
 
+def rarity(sat: Column) -> Column:
+    return _placed(sat, lambda h, first: _rarity(sat, h, first))
+
+
+def sat_place(sat: Column) -> Column:
+    """A sat's cycle, epoch, period, height, offsets in those, and rarity, as a struct."""
+    return _placed(
+        sat,
+        lambda h, first: F.struct(
+            F.floor(h / CYCLE).alias("cycle"), F.floor(h / HALVING).alias("epoch"), F.floor(h / PERIOD).alias("period"), h.alias("height"), (h % HALVING).alias("epoch_block"), (h % PERIOD).alias("period_block"),
+            _rarity(sat, h, first).alias("rarity"),
+        ),
+    )
+
+
 def is_alpha(sat: Column) -> Column:
     return sat % COIN == 0
 
@@ -84,13 +117,18 @@ def is_fibonacci(sat: Column) -> Column:
 
 def satributes(sat: Column) -> Column:
     """All tags of a sat, as an array of strings."""
-    h, rare = height(sat), rarity(sat)
-    tags = [
-        F.when(rare != "common", rare), F.when(is_first_in_block(sat + 1), "black"), F.when(is_alpha(sat), "alpha"), F.when(is_alpha(sat + 1), "omega"),
-        F.when(is_fibonacci(sat), "fibonacci"), F.when(sat.between(FIRST_TRANSACTION[0], sum(FIRST_TRANSACTION) - 1), "1stTX"),
-        F.when(h == 9, "block9"), F.when(h == 78, "block78"), F.when(h <= VINTAGE_HEIGHT, "vintage"), F.when(h.isin(list(NAKAMOTO_BLOCKS)), "nakamoto"),
-    ]
-    return F.array_compact(F.array(*tags))
+
+    def tags(h: Column, first: Column) -> Column:
+        return _let(
+            _rarity(sat, h, first),
+            lambda rare: F.array(
+                F.when(rare != "common", rare), F.when(is_first_in_block(sat + 1), "black"), F.when(is_alpha(sat), "alpha"), F.when(is_alpha(sat + 1), "omega"),
+                F.when(is_fibonacci(sat), "fibonacci"), F.when(sat.between(FIRST_TRANSACTION[0], sum(FIRST_TRANSACTION) - 1), "1stTX"),
+                F.when(h == 9, "block9"), F.when(h == 78, "block78"), F.when(h <= VINTAGE_HEIGHT, "vintage"), F.when(h.isin(list(NAKAMOTO_BLOCKS)), "nakamoto"),
+            ),
+        )
+
+    return F.array_compact(_placed(sat, tags))
 
 
 def trailing_zeros(n: Column, k: int) -> Column:

@@ -70,6 +70,7 @@ class TokenAccount:
         self.deployed, self.left, self.per_mint = False, most, per_mint
         self.available: dict[int, int] = {}
         self.inscribed: dict[int, deque[int]] = {}
+        self.waiting: dict[int, int] = {}  # sums of inscribed
 
     def __call__(self, row) -> list[tuple]:
         amount, accepted = 0, False
@@ -84,11 +85,13 @@ class TokenAccount:
             amount, accepted = row.amount, True
             self.available[row.owner] = mine - amount
             self.inscribed.setdefault(row.owner, deque()).append(amount)
+            self.waiting[row.owner] = self.waiting.get(row.owner, 0) + amount
         elif row.action in ("move", "cancel") and self.inscribed.get(row.owner):
             amount, accepted = self.inscribed[row.owner].popleft(), True
+            self.waiting[row.owner] -= amount
             to = row.receiver if row.action == "move" else row.owner
             self.available[to] = self.available.get(to, 0) + amount
-        return [(row.ticker, row.seq, row.owner, row.action, accepted, amount, self.available.get(row.owner, 0), sum(self.inscribed.get(row.owner, ())))]
+        return [(row.ticker, row.seq, row.owner, row.action, accepted, amount, self.available.get(row.owner, 0), self.waiting.get(row.owner, 0))]
 
     def dump(self) -> str:
         held = [[int(k), int(v)] for k, v in self.available.items()]
@@ -99,6 +102,7 @@ class TokenAccount:
         self.deployed, self.left, held, waiting = json.loads(text)
         self.available = dict(map(tuple, held))
         self.inscribed = {k: deque(v) for k, v in waiting}
+        self.waiting = {k: sum(v) for k, v in waiting}
 
 
 ACCOUNT = "ticker long, seq long, owner long, action string, accepted boolean, amount long, available long, transferable long"

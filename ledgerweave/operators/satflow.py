@@ -5,10 +5,10 @@ Tables of a block: inputs (height, tx, vin, utxo, value) and outputs (height, tx
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.flow import running_ends
+from ledgerweave.operators.flow import next_ends, running_ends
 
 
 def spend(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -17,18 +17,15 @@ def spend(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     return inputs.join(known, ["prev_txid", "prev_vout"], "left")
 
 
-def stretches(sources: DataFrame, targets: DataFrame, by: list[str], source_order: list[Column], target_order: list[Column], source: str, target: str) -> DataFrame:
+def stretches(sources: DataFrame, targets: DataFrame, by: list[str], source_order: list[Column], target_order: list[Column], source: str, target: str, width: int | None = None) -> DataFrame:
     """by, source, source_offset, target, target_offset, amount: sources' values laid end to end and cut by the targets' values, within by.
 
-    What no target takes has a null target. Values of 0 take no part. One sort of both sides' ends finds all stretches.
+    What no target takes has a null target. Values of 0 take no part. flow.next_ends finds all stretches; width splits large groups.
     """
     marked = lambda df, order, key, name: running_ends(df.where("value > 0"), by, order, "value").select(*by, "end", F.struct(F.col(key).alias("key"), (F.col("end") - F.col("value")).alias("start")).alias(name))
     a, b = marked(sources, source_order, source, "s"), marked(targets, target_order, target, "t")
     cuts = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("end")
-    ahead = order.rangeBetween(0, Window.unboundedFollowing)
-    found = cuts.select(*by, "end", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("begin"), F.first("s", ignorenulls=True).over(ahead).alias("s"), F.first("t", ignorenulls=True).over(ahead).alias("t"))
-    found = found.where("s is not null and end > begin")
+    found = next_ends(cuts, by, ["s", "t"], width).where("s is not null and end > begin")
     return found.select(
         *by, F.col("s.key").alias(source), (F.col("begin") - F.col("s.start")).alias("source_offset"), F.col("t.key").alias(target), (F.col("begin") - F.col("t.start")).alias("target_offset"), (F.col("end") - F.col("begin")).alias("amount")
     )

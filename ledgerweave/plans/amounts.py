@@ -22,8 +22,7 @@ when is_first and height % 2016 = 0 then 'rare' when is_first then 'uncommon' el
 def sat_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     sat = F.col("sat")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") * 104729000003) % 2099999997690000).alias("sat"))
-    h = sats.height(sat)
-    return rows.select("o_orderkey", "sat", h.alias("height"), sats.rarity(sat).alias("rarity"), F.floor(h / sats.CYCLE).cast("bigint").alias("cycle"), F.floor(h / sats.PERIOD).cast("bigint").alias("period"))
+    return rows.select("o_orderkey", "sat", sats.sat_place(sat).alias("p")).select("o_orderkey", "sat", "p.height", "p.rarity", "p.cycle", "p.period")
 
 
 @query("""

@@ -91,11 +91,12 @@ def audit_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.agg(F.sum("v").cast("bigint").alias("inputs")).select(F.lit("flow").alias("audit"), "inputs", moved.scalar().alias("allocated"))
 
 
-@query("select o_orderkey from orders where o_orderkey % 7 = 0 and o_orderkey in (select l_orderkey from lineitem) and o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
+@query("select o_orderkey from (select o_orderkey from orders union all select -1 - o_orderkey from orders) where o_orderkey in (select l_orderkey from lineitem) and o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
 def existing_utxos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested outputs that are live and unspent."""
+    """Requested outputs, every order and as many that do not exist, that are live and unspent."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
-    asked = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    asked = orders.unionByName(orders.select((-1 - F.col("o_orderkey")).alias("o_orderkey")))
     return overlay.existing(asked, lines, lines.where("l_returnflag = 'R'"), "o_orderkey")
 
 

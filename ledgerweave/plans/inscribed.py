@@ -118,11 +118,26 @@ def rune_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("p_partkey", "number", "name", (runes.decode(F.col("name")) == F.col("number")).alias("same"), runes.etchable(F.col("name"), F.lit(1_000_000)).alias("etchable"))
 
 
-@query()
+_DAY = "datediff('day', date '1970-01-01', cast(o_orderdate as date))"
+_CENTS = "cast(round(l_extendedprice * 100) as bigint)"
+
+
+@query(f"""
+with i as (select height, tx, vin, tx * 100 + vin as utxo, v, cast(sum(v) over (partition by height, tx order by vin) as bigint) as e from
+  (select {_DAY} as height, l_orderkey + 1 as tx, l_linenumber as vin, cast(sum({_CENTS}) as bigint) as v from lineitem join orders on l_orderkey = o_orderkey group by 1, 2, 3)),
+had as (select height, tx, cast(sum(v) as bigint) as had from i group by 1, 2),
+o as (select height, tx, vout, -(tx * 10 + vout) as utxo, v, v * (vout + 1) as e from (select height, tx, unnest([0, 1]) as vout, had * 49 // 100 as v from had)),
+paid as (select i.height, i.utxo as from_utxo, greatest(i.e - i.v, o.e - o.v) - (i.e - i.v) as from_offset, o.utxo as to_utxo, greatest(i.e - i.v, o.e - o.v) - (o.e - o.v) as to_offset, least(i.e, o.e) - greatest(i.e - i.v, o.e - o.v) as amount
+  from i join o on i.tx = o.tx and i.e - i.v < o.e and o.e - o.v < i.e),
+rest as (select i.height, i.tx, i.vin, i.utxo as from_utxo, greatest(i.e - i.v, 2 * (had * 49 // 100)) - (i.e - i.v) as base, i.e - greatest(i.e - i.v, 2 * (had * 49 // 100)) as v from i join had on i.tx = had.tx where i.e > 2 * (had * 49 // 100)),
+mined as (select height, from_utxo, base as from_offset, -((height + 1000000000) * 10) as to_utxo, cast(5000 + sum(v) over (partition by height order by tx, vin) - v as bigint) as to_offset, v as amount from rest
+  union all select distinct height, null, 0, -((height + 1000000000) * 10), 0, 5000 from had)
+select cast(height as integer) as height, from_utxo, from_offset, to_utxo, to_offset, amount from paid union all select cast(height as integer), from_utxo, from_offset, to_utxo, to_offset, amount from mined
+""")
 def sat_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transactions of their day: their lines are inputs, two outputs take most of the value, the day's coinbase the rest."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx"), F.unix_date(F.to_date("o_orderdate")).alias("height"), cents("o_totalprice").alias("total"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tx"), F.col("l_linenumber").alias("vin")).agg(F.sum(cents("l_extendedprice")).alias("value"))
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("tx"), F.unix_date(F.to_date("o_orderdate")).alias("height"), cents("o_totalprice").alias("total"))
+    lines = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") + 1).alias("tx"), F.col("l_linenumber").alias("vin")).agg(F.sum(cents("l_extendedprice")).alias("value"))
     inputs = lines.join(orders, "tx").select("height", "tx", "vin", (F.col("tx") * 100 + F.col("vin")).alias("utxo"), "value")
     had = inputs.groupBy("height", "tx").agg(F.sum("value").alias("had"))
     half = F.floor(F.col("had") * 49 / 100).cast("bigint")

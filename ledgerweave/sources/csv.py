@@ -10,6 +10,9 @@ COLUMNS = {
     "history": "ticker string, type string, valid string, txid string, idx int, vout int, offset bigint, inscriptionNumber bigint, inscriptionId string, `from` string, `to` string, satoshi bigint, fee bigint, amount string, overallBalance string, transferBalance string, availableBalance string, height int, txidx int",
     "rune_holders": "rune string, height int, address string, balance string",
     "arc_holders": "ticker string, height int, address string, amount bigint",
+    "token_holders": "address string, overall_balance string, transferable_balance string, available_balance string, available_balance_safe string, available_balance_unsafe string, last_height int, updated_at string, token string",
+    "token_tickers": "ticker string, inscription_number bigint, inscription_id string, inscription_number_start bigint, inscription_number_end bigint, deploy_height int, complete_height int",
+    "arc_tickers": "ticker string, height int, atomical_id string, utxo_count int, utxo_amount bigint, minted_times bigint, minted_amount bigint, max_mints bigint",
     "arc_utxos": "ticker string, height int, utxo_id bigint, amount bigint",
 }
 
@@ -33,6 +36,22 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ticker", F.lower("ticker")).dropDuplicates(["inscriptionNumber", "txid", "vout", "offset"])
 
 
+def read_token_holders(spark: SparkSession, path: str) -> DataFrame:
+    """Holder rows of a token, with updated_at as a timestamp (null if it isn't `yyyy/MM/dd HH:mm`)."""
+    return read_csv(spark, path, "token_holders").withColumn("updated_at", F.expr("try_to_timestamp(updated_at, 'yyyy/MM/dd HH:mm')"))
+
+
+def split_csv(spark: SparkSession, path: str, target: str, rows_per_file: int) -> None:
+    """The rows of a CSV as files of at most so many rows, each with the header."""
+    spark.read.option("header", True).csv(path).write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_file).csv(target)
+
+
+def filter_csv(spark: SparkSession, path: str, target: str, height: int, column: str = "height") -> None:
+    """The rows of a CSV up to a height, with the header; rows without a height are left out."""
+    rows = spark.read.option("header", True).csv(path)
+    rows.where(F.col(column).try_cast("bigint") <= height).write.mode("overwrite").option("header", True).csv(target)
+
+
 def height_range(rows: DataFrame) -> DataFrame:
     """first_height and last_height of a history, over all of its rows."""
     return rows.agg(F.min("height").alias("first_height"), F.max("height").alias("last_height"))

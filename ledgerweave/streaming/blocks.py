@@ -32,24 +32,35 @@ def ingest(stream: DataFrame, table_path: str, checkpoint: str, span: int = 1000
     """Write a stream of rows with a height into partitions of span heights, once for each row however often a batch is retried.
 
     A batch replaces heights that it brings again: rows of an orphaned block give way to those of its successor, as a
-    reorganisation asks. Only partitions that the batch touches are rewritten.
+    reorganisation asks, and those above the least such height go, as they followed the orphaned one. Only partitions that
+    the batch touches are rewritten, from a copy beside the stream's checkpoint, so the table is never read from what is
+    being overwritten.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = transform(batch) if transform else batch
         rows = rows.withColumn("span", F.floor(F.col("height") / span).cast("bigint")).withColumn("batch", F.lit(batch_id))
+        staged = f"{checkpoint.rstrip('/')}/staged/{batch_id}"
+        rows.write.mode("overwrite").parquet(f"{staged}/new")
+        rows = spark.read.schema(rows.schema).parquet(f"{staged}/new")
         touched = [r[0] for r in rows.select("span").distinct().collect()]  # one number for each span of heights in the batch
-        if not touched:
-            return
-        path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        if there:
-            old = spark.read.parquet(table_path).where(F.col("span").isin(touched))
-            old = old.join(rows.select("height").distinct(), "height", "left_anti")
-            rows = old.unionByName(rows).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else old.unionByName(rows).persist()
-            rows.count()
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("span").parquet(table_path)
+        files = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+        system = files(table_path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if touched and system.exists(files(table_path)):
+            old = spark.read.parquet(table_path)
+            again = old.select("height").join(rows.select("height").distinct(), "height", "left_semi").agg(F.min("height")).first()[0]
+            kept = old.where(F.col("span").isin(touched)).join(rows.select("height").distinct(), "height", "left_anti")
+            if again is not None:
+                kept = kept.where(F.col("height") < again)
+                gone = [r[0] for r in old.where((F.col("height") > again) & ~F.col("span").isin(touched)).select("span").distinct().collect()]
+                for name in gone:
+                    system.delete(files(f"{table_path}/span={name}"), True)
+            kept.unionByName(rows).write.mode("overwrite").parquet(f"{staged}/all")
+            rows = spark.read.parquet(f"{staged}/all")
+        if touched:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("span").parquet(table_path)
+        system.delete(files(staged), True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,43 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.lineage import cut
+
+
+#: Levels that are kept apart before they become one table.
+LEVELS = 16
+
 
-def descendants(roots: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def descendants(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """root, node for every node reachable from each root (node) along edges (parent, child), the root included.
 
-    Breadth first, one join for each level; the frontier holds only nodes that are new. Lineage is cut by checkpoints in
-    the folder that the session names.
+    Breadth first, one join for each level until a level has nothing new, so cycles and shared descendants are fine. Each
+    level is written once, and again whenever LEVELS of them are put together (lineage.cut).
     """
-    frontier = roots.select(F.col("node").alias("root"), "node").distinct()
-    seen = frontier
-    if not _can_checkpoint(frontier):
-        return _recursive(roots, edges)
-    for _ in range(max_depth):
-        frontier = frontier.join(edges, frontier["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
-        frontier = frontier.join(seen, ["root", "node"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier).checkpoint()
-    return seen
-
-
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
-def _recursive(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same by a recursive common table expression, where no checkpoint folder is named."""
-    spark = roots.sparkSession
-    return spark.sql(
-        """with recursive reach(root, node) as (
-             select distinct node as root, node from {roots}
-             union all select r.root, e.child from reach r join {edges} e on e.parent = r.node
-           ) select distinct root, node from reach""",
-        roots=roots, edges=edges,
-    )
+    frontier = cut(roots.select(F.col("node").alias("root"), "node").distinct())
+    levels = [frontier]
+    while not frontier.isEmpty():
+        found = frontier.join(edges, frontier["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, levels)
+        frontier = cut(found.join(seen, ["root", "node"], "left_anti"))
+        levels.append(frontier)
+        if len(levels) > LEVELS:
+            levels = [cut(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
 
 
 def replaced(spends: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -150,3 +151,37 @@ def test_streamed_fold_equals_batch(spark, tmp_path):
     sink = folded.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     sink.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("ticker", "seq", "owner", "action", "accepted", "amount", "available", "transferable").collect())) == want
+
+
+def test_allocation_splits_a_hot_group(spark):
+    rng = np.random.default_rng(6)
+    sides = [spark.createDataFrame(pd.DataFrame({"g": 1, "k": range(3000), "v": rng.integers(1, 50, 3000)})) for _ in range(2)]
+    plain = [flow.running_ends(x, ["g"], [F.col("k")], "v") for x in sides]
+    split = [flow.running_ends(x, ["g"], [F.col("k")], "v", stretch=F.floor(F.col("k") / 100)) for x in sides]
+    assert sorted(plain[0].collect()) == sorted(split[0].collect())
+    want = sorted(flow.allocate(plain[0].withColumnRenamed("k", "a"), plain[1].withColumnRenamed("k", "b"), ["g"], "a", "b").collect())
+    for width in (1, 70, 10**9):
+        assert sorted(flow.allocate(split[0].withColumnRenamed("k", "a"), split[1].withColumnRenamed("k", "b"), ["g"], "a", "b", width).collect()) == want
+    ends = [np.cumsum([r.v for r in x.orderBy("k").collect()]) for x in sides]
+    cuts = np.unique(np.concatenate(ends))
+    cuts = cuts[cuts <= min(e[-1] for e in ends)]
+    assert [tuple(r) for r in want] == sorted((1, int(np.searchsorted(ends[0], c)), int(np.searchsorted(ends[1], c)), int(d)) for c, d in zip(cuts, np.diff(np.r_[0, cuts]), strict=True))
+
+
+def test_a_reorganisation_drops_what_followed_the_orphaned_block(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "height long, tag string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    put([(h, "old") for h in range(95, 2105)])
+    stream = lambda: blocks.ingest(blocks.block_stream(spark, source, spark.createDataFrame([], schema).schema), target, checkpoint, span=100).awaitTermination()
+    stream()
+    put([(h, "new") for h in range(1050, 1060)])
+    stream()
+    rows = {r.height: r.tag for r in spark.read.parquet(target).collect()}
+    assert rows == {**{h: "old" for h in range(95, 1050)}, **{h: "new" for h in range(1050, 1060)}}
+
+
+def test_descendants_of_a_cycle_and_a_diamond(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1)] + [(k, k + 1) for k in range(10, 40)], "parent long, child long")
+    out = mempool.descendants(spark.createDataFrame([(1,), (10,)], "node long"), edges).collect()
+    assert sorted(map(tuple, out)) == [(1, n) for n in (1, 2, 3, 4)] + [(10, n) for n in range(10, 41)]
