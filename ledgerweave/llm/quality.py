@@ -9,6 +9,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -145,19 +146,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     columns = [(c, isinstance(docs.schema[c].dataType, NumericType)) for c in metadata]
     chosen = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), _metadata(metadata).alias("more")).alias("d")).join(F.broadcast(drawn), "doc_id")
     least = chosen.groupBy("doc_id", "y").agg(F.min("d").alias("d")).select("doc_id", "y", F.col("d.text").cast("binary").alias("text"), "d.more")
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("ids", pa.list_(pa.int64())), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("ids", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))])
 
     def run(batches):
         for batch in slices(batches):
             found = [features(t, None, metadata_features(m, columns)) for t, m in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True)]
             yield record(schema, doc_id=batch.column("doc_id"), y=batch.column("y"), ids=[i for i, _ in found], x=[x for _, x in found])
 
-    found = least.select(F.col("doc_id").cast("long"), "y", "text", "more").mapInArrow(run, "doc_id long, y int, ids array<long>, x array<double>").toArrow()
+    found = least.select(F.col("doc_id").cast("long"), "y", "text", "more").mapInArrow(run, "doc_id long, y int, ids array<int>, x array<float>").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     model = FactorisationMachine(metadata=columns)
     if found.num_rows:
-        ids, x = (found.column(c).to_pylist() for c in ("ids", "x"))
-        model.fit([(np.array(i), np.array(v)) for i, v in zip(ids, x, strict=True)], found.column("y").to_numpy().astype(float))
+        ids, x = (found.column(c).combine_chunks() for c in ("ids", "x"))
+        cuts = np.cumsum(pc.list_value_length(ids).to_numpy())[:-1]
+        rows = zip(*(np.split(part.flatten().to_numpy(), cuts) for part in (ids, x)), strict=True)
+        model.fit(list(rows), found.column("y").to_numpy().astype(float))
     return model
 
 
