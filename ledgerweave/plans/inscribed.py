@@ -110,7 +110,11 @@ def amount_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.expr("units div parts").alias("each"), F.expr("units % parts").alias("rest"), share.alias("share"))
 
 
-@query()
+@query("""
+with recursive n as (select p_partkey, p_partkey * 1000003 as number from part),
+s as (select p_partkey, number, number + 1 as rest, '' as name from n union all select p_partkey, number, (rest - 1) // 26, chr(cast(65 + (rest - 1) % 26 as integer)) || name from s where rest > 0)
+select p_partkey, cast(number as varchar) as number, name, true as same, number >= 18278 - (18278 - 702) * (1000001 - 840000 - 9 * 17500) // 17500 as etchable from s where rest = 0
+""")
 def rune_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part keys as rune names and back, and whether they may be etched early on."""
     number = (F.col("p_partkey") * 1_000_003).cast("string")

@@ -1,4 +1,4 @@
-"""Queries of the order-dependent protocol rules. SQL can't express the folds; tests hold them against plain Python."""
+"""Queries of the order-dependent protocol rules. SQL steps through the short ones by recursion; tests hold the others against plain Python."""
 
 from __future__ import annotations
 
@@ -21,7 +21,12 @@ def _acts(spark: SparkSession, sf_dir: str, meaning: dict[str, str]) -> DataFram
     ).where("action is not null")
 
 
-@query()
+@query(f"""
+with recursive r as (select l_partkey as ticker, row_number() over (partition by l_partkey order by {', '.join(LINE_ORDER)}) - 1 as seq, cast(l_quantity as bigint) as amount from lineitem),
+f as (select ticker, seq, amount, amount <= 500 as accepted, cast(case when amount <= 500 then 500 - amount else 500 end as bigint) as left_after from r where seq = 0
+  union all select r.ticker, r.seq, r.amount, r.amount <= f.left_after, cast(case when r.amount <= f.left_after then f.left_after - r.amount else f.left_after end as bigint) from f join r on r.ticker = f.ticker and r.seq = f.seq + 1)
+select * from f
+""")
 def capped_mint_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mints up to 500 a ticker; those that would pass it are refused whole."""
     from ledgerweave.operators.ordered import numbered
@@ -36,7 +41,19 @@ def token_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ordered_fold(_acts(spark, sf_dir, ACTIONS), ["ticker"], ["seq"], lambda: P.TokenAccount(20_000, 1_000), P.ACCOUNT)
 
 
-@query()
+@query("""
+with recursive e as (select user_id as owner, event_id as seq, case event_type when 'error' then 'freeze' when 'signup' then 'unfreeze' when 'purchase' then 'receive' when 'click' then 'spend' end as action,
+  cast(floor(value + 1) as bigint) as amount from events),
+r as (select *, row_number() over (partition by owner order by seq) as n from e where action is not null),
+f as (select owner, cast(0 as bigint) as seq, '' as action, cast(0 as bigint) as n, cast(0 as bigint) as held, cast(0 as bigint) as frozen, cast(0 as bigint) as burned, false as is_frozen from (select distinct owner from r)
+  union all select r.owner, r.seq, r.action, r.n,
+    case r.action when 'receive' then f.held + r.amount when 'spend' then f.held - least(r.amount, f.held) else f.held end,
+    case when r.action = 'freeze' and not f.is_frozen then f.held when r.action = 'unfreeze' then 0 when r.action = 'spend' and f.is_frozen then f.frozen - least(r.amount, f.held, f.frozen) else f.frozen end,
+    case when r.action = 'spend' and f.is_frozen then least(r.amount, f.held, f.frozen) else 0 end,
+    case r.action when 'freeze' then true when 'unfreeze' then false else f.is_frozen end
+  from f join r on r.owner = f.owner and r.n = f.n + 1)
+select cast(0 as bigint) as ticker, owner, seq, action, held, frozen, burned, is_frozen from f where n > 0
+""")
 def freeze_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     meaning = {"error": "freeze", "signup": "unfreeze", "purchase": "receive", "click": "spend"}
     rows = _acts(spark, sf_dir, meaning).select(F.lit(0).cast("bigint").alias("ticker"), "owner", "seq", "action", "amount")
