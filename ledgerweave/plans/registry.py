@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerweave.plans import amounts, bound, chain, flows, history, holdings, inscribed, lookups, names, protocols, ranges
+from ledgerweave.plans import amounts, bound, chain, flows, history, holdings, inscribed, lookups, names, protocols, ranges, views
 from ledgerweave.plans.catalog import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "amounts", "bound", "chain", "flows", "history", "holdings", "inscribed", "lookups", "names", "protocols", "ranges"]
+__all__ = ["ORACLE_SQL", "QUERIES", "amounts", "bound", "chain", "flows", "history", "holdings", "inscribed", "lookups", "names", "protocols", "ranges", "views"]
