@@ -10,15 +10,19 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import numbered, read, record, slices, stored, utf8
+from ledgerweave.llm.common import columns_of, numbered, read, record, slices, stored, unused, utf8
 
 WINDOW_WORDS = 10
 GRAM_WORDS = 6
-#: Benchmark words indexed at once. A larger benchmark is searched in blocks of so many, each against all documents.
+#: Words (and 32 times as many bytes) of a benchmark that is indexed and broadcast. A larger one is joined in Spark.
 BLOCK_WORDS = 2_000_000
+WORD_BYTES = 32
+#: Parts that a fingerprint or window of a joined benchmark is dealt over, as one may stand in a third of all documents.
+SALTS = 16
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -161,40 +165,109 @@ class _Windows:
         return starts, kind
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Items with words, in blocks of about block_words. A longer item comes in parts that share window - 1 words, so no window is lost."""
-    items, n = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        words = words_of((row[1] or "").encode())
-        step = max(block_words, 2 * window)
-        parts = [words[at : at + step + window - 1] for at in range(0, max(1, len(words) - window + 1), step)] if len(words) > step else [words]
-        for part in parts:
-            if part:
-                if items and n + len(part) > block_words:
-                    yield items
-                    items, n = [], 0
-                items.append((row[0], part))
-                n += len(part)
-    yield items
+_FOUND = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
-_FOUND = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.octet_length("text") > 0)
+
+
+def _index(benchmark: DataFrame, window: int, gram: int, block_words: int) -> Index | None:
+    """The index of a benchmark of at most block_words words and WORD_BYTES times as many bytes; None for a larger one, of which nothing is fetched."""
+
+    def count(batches):
+        for batch in slices(batches):
+            yield pa.record_batch({"n": pa.array([len(words_of(t)) for t in utf8(batch, "text")], pa.int64())})
 
+    items = _items(benchmark)
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0))).alias("n")).first().n or 0
+    words = items.mapInArrow(count, "n long").agg(F.sum("n").alias("n")).first().n or 0
+    if words > block_words or size > WORD_BYTES * block_words:
+        return None
+    held = ((row.item, words_of(row.text.encode())) for row in items.toLocalIterator())
+    return Index([(item, words) for item, words in held if words], window, gram)
 
-def _search_blocks(keyed: DataFrame, benchmark: DataFrame, window: int, gram: int, block_words: int) -> Iterator[DataFrame]:
-    """What each block's search finds. With more than one block each result is written before the next block is sent out."""
-    context = keyed.sparkSession.sparkContext
-    blocks = _blocks(benchmark, window, block_words)
-    block, after = next(blocks), next(blocks, None)
-    if after is None:
-        yield _search(keyed, context.broadcast(Index(block, window, gram)))
-        return
-    while block is not None:
-        index = context.broadcast(Index(block, window, gram))
-        done = stored(_search(keyed, index))
-        index.destroy()
-        yield done
-        block, after = after, next(blocks, None)
+
+def _marks(words: list[bytes], size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the winnowed grams by which windows of so many words are met."""
+    k = min(gram, size)
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)], np.uint64)
+    at = winnow(hashes, size - k + 1)
+    return at, hashes[at].view(np.int64)
+
+
+def _join_search(keyed: DataFrame, benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """As _search for a benchmark of any size: its fingerprints and windows are made in tasks, and both joins are salted equi-joins.
+
+    Fingerprints of documents that the benchmark has say which windows of the text are compared; these are joined by their
+    words, so the result is exact. A document's own hits meet in one row, as the result has them.
+    """
+
+    def windows(batches):
+        schema = pa.schema([("item", pa.string()), ("n", pa.int32()), ("words", pa.string()), ("prints", pa.list_(pa.int64()))])
+        for batch in slices(batches):
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), utf8(batch, "text"), strict=True):
+                words = words_of(text)
+                n = min(len(words), window)
+                if n:
+                    prints = np.unique(_marks(words, n, gram if n == window else n)[1]).tolist()
+                    grams = dict.fromkeys(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+                    out += [(item, n, g.decode(), prints if not k else []) for k, g in enumerate(grams)]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield record(schema, **dict(zip(schema.names, map(list, columns), strict=True)))
+
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    made = stored(_items(benchmark).mapInArrow(windows, "item string, n int, words string, prints array<long>"))
+    sizes = sorted(r.n for r in made.select("n").distinct().collect())
+    prints = made.select("n", F.explode("prints").alias("print")).distinct().select("*", salts)
+
+    def fingerprints(batches):
+        schema = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("print", pa.int64()), ("salt", pa.int32())])
+        for batch in slices(batches):
+            for row, text in zip(batch.column("row").to_pylist(), utf8(batch, "text"), strict=True):
+                words = words_of(text)
+                for n in sizes:
+                    if len(words) >= n:
+                        at, marks = _marks(words, n, gram if n == window else n)
+                        m = len(at)
+                        yield record(schema, row=pa.array([row] * m, pa.int64()), n=pa.array([n] * m, pa.int32()), at=pa.array(at.astype(np.int32)), print=pa.array(marks), salt=pa.array([row % SALTS] * m, pa.int32()))
+
+    def around(batches):
+        schema = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("words", pa.string()), ("salt", pa.int32())])
+        for batch in slices(batches):
+            for row, text, met in zip(batch.column("row").to_pylist(), utf8(batch, "text"), batch.column("met").to_pylist(), strict=True):
+                words, starts = words_of(text), set()
+                for m in met:
+                    first = m["at"] - (m["n"] - (gram if m["n"] == window else m["n"]))
+                    starts.update((m["n"], s) for s in range(max(first, 0), min(m["at"], len(words) - m["n"]) + 1))
+                picked = sorted(starts)
+                texts = [b" ".join(words[s : s + n]).decode() for n, s in picked]
+                yield record(schema, row=[row] * len(picked), n=[n for n, _ in picked], start=[s for _, s in picked], words=texts, salt=[row % SALTS] * len(picked))
+
+    def merge(batches):
+        schema = pa.schema([_FOUND.field("row"), ("doc_id", pa.int64()), *list(_FOUND)[1:]])
+        for batch in slices(batches):
+            starts, ends, items = [], [], []
+            for hits in batch.column("hits").to_pylist():
+                spans: list[list] = []
+                for h in sorted(hits or [], key=lambda h: (h["item"] is not None, h["item"] or "", h["start"])):
+                    if spans and spans[-1][2] == h["item"] and h["start"] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], h["start"] + h["n"])
+                    else:
+                        spans.append([h["start"], h["start"] + h["n"], h["item"]])
+                for column, k in ((starts, 0), (ends, 1), (items, 2)):
+                    column.append([s[k] for s in spans])
+            counts = [len(words_of(t)) for t in utf8(batch, "text")]
+            yield record(schema, row=batch.column("row"), doc_id=batch.column("doc_id"), n_words=counts, starts=starts, ends=ends, items=items)
+
+    keyed = stored(keyed)
+    met = keyed.select("row", "text").mapInArrow(fingerprints, "row long, n int, at int, print long, salt int").join(prints, ["n", "print", "salt"], "left_semi")
+    met = met.groupBy("row").agg(F.collect_list(F.struct("n", "at")).alias("met"))
+    near = keyed.select("row", "text").join(met, "row").mapInArrow(around, "row long, n int, start int, words string, salt int")
+    hits = near.join(made.select("item", "n", "words").distinct().select("*", salts), ["n", "words", "salt"])
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("item", "start", "n")).alias("hits"))
+    return keyed.join(hits, "row", "left").select("row", "doc_id", "text", "hits").mapInArrow(merge, "row long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>")
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -207,16 +280,17 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     one item, repeated rows of docs come as often as they are there. doc_id is of any integer type, item_id of any type
     with a text form; items holds that text.
 
-    One block of the benchmark is held at a time; with several, each searches all documents and their spans are united.
+    A benchmark of at most block_words words is indexed and broadcast; a larger one is joined in Spark, with the same result.
     """
-    parts = list(_search_blocks(numbered(docs.select(F.col("doc_id").cast("long"), "text"), ("doc_id", "text")), benchmark, window, gram, block_words))
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    united = (F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items"))
-    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *united).drop("row")
+    keyed = numbered(docs.select(F.col("doc_id").cast("long"), "text"), ("doc_id", "text"))
+    return _found(keyed, benchmark, window, gram, block_words).drop("row")
+
+
+def _found(keyed: DataFrame, benchmark: DataFrame, window: int, gram: int, block_words: int) -> DataFrame:
+    index = _index(benchmark, window, gram, block_words)
+    if index is None:
+        return _join_search(keyed, benchmark, window, gram)
+    return _search(keyed, keyed.sparkSession.sparkContext.broadcast(index))
 
 
 def _search(keyed: DataFrame, index) -> DataFrame:
@@ -268,20 +342,18 @@ def digest(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the rows that hold a window of any benchmark item; columns are those of docs, whatever their names and ids.
 
-    Null texts stay. Rows are filtered where they are, without a shuffle; with more than one block of the benchmark, what
-    one leaves is written before the next is sent out.
+    Null texts stay. Rows are filtered where they are, without a shuffle, by a benchmark of at most block_words words. By a
+    larger one, distinct texts are searched, and docs joined with those that hold a window, by their SHA-256.
     """
-    context = docs.sparkSession.sparkContext
-    blocks = _blocks(benchmark, window, block_words)
-    block, after = next(blocks), next(blocks, None)
-    while block is not None:
-        index = context.broadcast(Index(block, window, gram))
-        docs = docs.where(_clean(index)("text"))
-        if after is not None:
-            docs = stored(docs)
-            index.destroy()
-        block, after = after, next(blocks, None)
-    return docs
+    index = _index(benchmark, window, gram, block_words)
+    if index is not None:
+        return docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index))("text"))
+    key = unused(docs.columns, "text_key")
+    texts = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias(key), "text").where("text is not null").groupBy(key).agg(F.any_value("text").alias("text"))
+    texts = stored(texts.select(F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("doc_id"), "text", key))
+    hit = _join_search(texts.select("row", "doc_id", "text"), benchmark, window, gram).where(F.size("starts") > 0).select("row")
+    gone = texts.join(hit, "row", "left_semi").select(key)
+    return docs.withColumn(key, F.sha2(F.col("text").cast("binary"), 256)).join(gone, key, "left_anti").select(*columns_of(docs))
 
 
 def _clean(index):

@@ -188,6 +188,21 @@ def test_repetitive_texts_and_many_blocks(spark):
         assert sorted((r.doc_id, r["__hash"]) for r in clean.collect()) == [(5, "text"), (6, "text")]
 
 
+def test_joined_benchmark_equals_indexed(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join(rng.choice(list("abcdefghij"), n, p=[0.3, 0.2] + [0.0625] * 8))
+    items = [(f"i{k}", draw(int(n))) for k, n in enumerate(rng.integers(0, 60, 40))] + [(None, "q r s"), ("x", None), ("i3", "a b"), ("i3", "a b"), ("é", "ünï \u4e2d c"), ("z", "w " * 40)]
+    texts = [(k % 50, draw(int(n))) for k, n in enumerate(rng.integers(0, 200, 60))]
+    texts += [(100, items[7][1]), (101, f"{draw(30)} {items[9][1]} {draw(30)}"), (102, None), (103, ""), (104, "Q r s; ÜNÏ ünï \u4e2d C"), (105, "w " * 700), (105, "w " * 700)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("text_key", F.lit(1))
+    one, other = (sorted(tuple(r) for r in decontamination.digest(decontamination.find_passages(docs, benchmark, block_words=n)).collect()) for n in (2_000_000, 1))
+    assert one == other
+    assert 5 < sum(r[5] for r in one) < len(texts)
+    one, other = (sorted((r.doc_id, r.text or "", r.text_key) for r in decontamination.drop_contaminated(docs, benchmark, block_words=n).collect()) for n in (2_000_000, 1))
+    assert one == other
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op3_toxicity", "toxic", 0.9), ("op7_quality_classifier", "quality", 0.97)])
 def test_classifiers(spark, name, label, least):
     sf_dir = "/root/testdata/sf0.1"
