@@ -35,19 +35,19 @@ def name_parts(name: Column, separator: str = r"\.") -> Column:
     return F.when(F.size(p) == 1, made(p[0], F.lit(""))).when(F.size(p) == 2, made(p[0], p[1])).otherwise(made(F.lit(""), F.lit("")))
 
 
-def is_date(year: Column, month: Column, day: Column) -> Column:
-    """A calendar day of the years 1900 to 2100."""
+def is_date(year: Column, month: Column, day: Column, years: tuple[int, int] = (1900, 2100)) -> Column:
+    """A calendar day of the given years."""
     text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return year.between(1900, 2100) & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull()
+    return year.between(*years) & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull()
 
 
 def _number(name: Column, start: int, length: int) -> Column:
     return F.substring(name, start, length).try_cast("int")
 
 
-def is_full_date(name: Column) -> Column:
-    """YYYYMMDD of a calendar day from 1900 to 2100."""
-    return F.coalesce(name.rlike("^[0-9]{8}$") & is_date(_number(name, 1, 4), _number(name, 5, 2), _number(name, 7, 2)), F.lit(False))
+def is_full_date(name: Column, years: tuple[int, int] = (1900, 2100)) -> Column:
+    """YYYYMMDD of a calendar day of the given years; the name filter takes those from 1900 to 2100."""
+    return F.coalesce(name.rlike("^[0-9]{8}$") & is_date(_number(name, 1, 4), _number(name, 5, 2), _number(name, 7, 2), years), F.lit(False))
 
 
 def is_short_date(name: Column) -> Column:
