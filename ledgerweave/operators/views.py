@@ -30,7 +30,8 @@ def enabled_sats(sats: DataFrame, disabled: DataFrame) -> DataFrame:
 
 def disable(disabled: DataFrame, requests: DataFrame, sats: DataFrame) -> DataFrame:
     """disabled (sat, proof) with the enabled sats of the outputs that requests (utxo, proof) name; the least proof counts where several name one."""
-    new = enabled_sats(sats, disabled).select("sat", "utxo").join(requests.select("utxo", "proof"), "utxo").groupBy("sat").agg(F.min("proof").alias("proof"))
+    asked = requests.groupBy("utxo").agg(F.min("proof").alias("proof"))  # first, so that an output's sats don't meet all of its requests
+    new = enabled_sats(sats, disabled).select("sat", "utxo").join(asked, "utxo").groupBy("sat").agg(F.min("proof").alias("proof"))
     return disabled.select("sat", "proof").unionByName(new)
 
 

@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import names
+from ledgerweave.operators import views
 from ledgerweave.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -16,3 +17,32 @@ def test_full_dates_of_any_year(spark, tmp_path):
     assert {full for _, full in want} == {True, False}
     later = spark.range(1).select(names.is_full_date(F.lit("21010210")), names.name_filter(F.lit("21010210"), "FDate"), names.is_full_date(F.lit("21010210"), (0, 9999))).first()
     assert tuple(later) == (False, False, True)
+
+
+def test_disable_meets_each_output_once(spark):
+    """Many requests for outputs with many sats: the join makes one row for each sat, not one for each request."""
+    sats = spark.range(3000).select(F.col("id").alias("sat"), (F.col("id") % 2).alias("utxo"))
+    asked = spark.range(400).select((F.col("id") % 2).alias("utxo"), F.format_string("p%03d", "id").alias("proof"))
+    new = views.disable(spark.createDataFrame([(0, "before")], "sat long, proof string"), asked, sats)
+    rows = {r.sat: r.proof for r in new.collect()}
+    assert len(rows) == 3000
+    assert (rows[0], rows[1], rows[2]) == ("before", "p001", "p000")
+    assert joined(new) <= 3000 + 2999
+
+
+def joined(df):
+    """Rows that the joins of a plan that has run gave out, as its metrics count them."""
+    df.collect()
+    found, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            left.append(node.plan())
+        if "Join" in node.nodeName():
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return found
