@@ -5,7 +5,7 @@ Tables of a block: inputs (height, tx, vin, utxo, value) and outputs (height, tx
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.flow import next_ends, running_ends
@@ -36,18 +36,17 @@ def block_flow(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
     Fees follow the new sats in the order of their transactions, and the coinbase's outputs cut them.
     """
-    inside = stretches(
-        inputs.where("tx > 0").withColumnRenamed("utxo", "from_utxo"), outputs.where("tx > 0").withColumnRenamed("utxo", "to_utxo"), ["height", "tx"], [F.col("vin")], [F.col("vout")], "from_utxo", "to_utxo"
-    )
-    paid = inside.where("to_utxo is not null").select("height", "from_utxo", F.col("source_offset").alias("from_offset"), "to_utxo", F.col("target_offset").alias("to_offset"), "amount")
-    order = inputs.where("tx > 0").select("height", "tx", "vin", F.col("utxo").alias("from_utxo"))
-    fees = inside.where("to_utxo is null").join(order, ["height", "tx", "from_utxo"])
-    fees = fees.select("height", "tx", "vin", F.struct("from_utxo", F.col("source_offset").alias("base")).alias("fee"), F.col("amount").alias("value"))
+    placed = inputs.where("tx > 0").select("height", "tx", "vin", "value", F.struct(F.col("utxo").alias("from_utxo"), "vin").alias("from"))
+    inside = stretches(placed, outputs.where("tx > 0").withColumnRenamed("utxo", "to_utxo"), ["height", "tx"], [F.col("vin")], [F.col("vout")], "from", "to_utxo")
+    paid = inside.where("to_utxo is not null").select("height", "from.from_utxo", F.col("source_offset").alias("from_offset"), "to_utxo", F.col("target_offset").alias("to_offset"), "amount")
+    fees = inside.where("to_utxo is null").select("height", "tx", "from.vin", F.struct("from.from_utxo", F.col("source_offset").alias("base")).alias("fee"), F.col("amount").alias("value"))
     coinbase = outputs.where("tx = 0").withColumnRenamed("utxo", "to_utxo")
-    reward = coinbase.groupBy("height").agg(F.sum("value").alias("reward")).join(fees.groupBy("height").agg(F.sum("value").alias("fees")), "height", "left")
-    nothing = F.lit(None).cast(fees.schema["fee"].dataType)
-    new = reward.select("height", F.lit(0).alias("tx"), F.lit(0).alias("vin"), F.struct(nothing["from_utxo"].alias("from_utxo"), F.lit(0).cast("bigint").alias("base")).alias("fee"), F.greatest(F.col("reward") - F.coalesce("fees", F.lit(0)), F.lit(0)).alias("value"))
-    mined = stretches(new.unionByName(fees), coinbase, ["height"], [F.col("tx"), F.col("vin")], [F.col("vout")], "fee", "to_utxo")
+    reward = coinbase.groupBy("height").agg(F.sum("value").alias("reward"))
+    new = reward.select("height", F.lit(0).alias("tx"), F.lit(0).alias("vin"), F.struct(F.lit(None).cast(inputs.schema["utxo"].dataType).alias("from_utxo"), F.lit(0).cast("bigint").alias("base")).alias("fee"), "reward")
+    sources = new.unionByName(fees, allowMissingColumns=True)
+    left = F.col("reward") - F.coalesce(F.sum("value").over(Window.partitionBy("height")), F.lit(0))  # what fees don't cover is new
+    sources = sources.withColumn("value", F.when(F.col("reward").isNotNull(), F.greatest(left, F.lit(0))).otherwise(F.col("value"))).drop("reward")
+    mined = stretches(sources, coinbase, ["height"], [F.col("tx"), F.col("vin")], [F.col("vout")], "fee", "to_utxo")
     mined = mined.select("height", F.col("fee.from_utxo").alias("from_utxo"), (F.col("fee.base") + F.col("source_offset")).alias("from_offset"), "to_utxo", F.col("target_offset").alias("to_offset"), "amount")
     return paid.unionByName(mined)
 

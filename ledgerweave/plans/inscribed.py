@@ -140,9 +140,9 @@ select cast(height as integer) as height, from_utxo, from_offset, to_utxo, to_of
 """)
 def sat_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transactions of their day: their lines are inputs, two outputs take most of the value, the day's coinbase the rest."""
-    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("tx"), F.unix_date(F.to_date("o_orderdate")).alias("height"), cents("o_totalprice").alias("total"))
-    lines = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") + 1).alias("tx"), F.col("l_linenumber").alias("vin")).agg(F.sum(cents("l_extendedprice")).alias("value"))
-    inputs = lines.join(orders, "tx").select("height", "tx", "vin", (F.col("tx") * 100 + F.col("vin")).alias("utxo"), "value")
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("tx"), F.unix_date(F.to_date("o_orderdate")).alias("height"))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1).alias("tx"), F.col("l_linenumber").alias("vin"), cents("l_extendedprice").alias("value"))
+    inputs = lines.join(orders, "tx").groupBy("height", "tx", "vin").agg(F.sum("value").alias("value")).select("height", "tx", "vin", (F.col("tx") * 100 + F.col("vin")).alias("utxo"), "value")
     had = inputs.groupBy("height", "tx").agg(F.sum("value").alias("had"))
     half = F.floor(F.col("had") * 49 / 100).cast("bigint")
     paid = had.select("height", "tx", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("vout"), half.alias("value"))

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import names
-from ledgerweave.operators import views
+from ledgerweave.operators import satflow, views
 from ledgerweave.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -46,3 +46,13 @@ def joined(df):
         children = node.children()
         left += [children.apply(k) for k in range(children.size())]
     return found
+
+
+def test_block_flow_without_joins(spark):
+    """Fees keep their input's place as they go, and new sats come from the same pass: nothing is joined back."""
+    ins = spark.createDataFrame([(1, 1, 0, 10, 5), (1, 1, 1, 11, 4), (2, 3, 0, 12, 6)], "height int, tx int, vin int, utxo long, value long")
+    outs = spark.createDataFrame([(1, 1, 0, 20, 3), (1, 0, 0, 30, 9), (2, 3, 0, 21, 1), (2, 0, 0, 31, 4), (3, 0, 0, 32, 7)], "height int, tx int, vout int, utxo long, value long")
+    moves = satflow.block_flow(ins, outs)
+    want = [(1, 10, 0, 20, 0, 3), (1, None, 0, 30, 0, 3), (1, 10, 3, 30, 3, 2), (1, 11, 0, 30, 5, 4), (2, 12, 0, 21, 0, 1), (2, 12, 1, 31, 0, 4), (2, 12, 5, None, None, 1), (3, None, 0, 32, 0, 7)]
+    assert {tuple(r) for r in moves.collect()} == set(want)
+    assert "Join" not in moves._jdf.queryExecution().optimizedPlan().toString()
