@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.flow import running_ends
 from ledgerweave.operators.intervals import overlap_join
 from ledgerweave.operators.paging import paginate
 from ledgerweave.operators.protocols import ordered_fold
-from ledgerweave.operators.satflow import stretches
 
 
 def void_mints(existing: DataFrame, mints: DataFrame, width: int = 1000) -> DataFrame:
@@ -91,20 +91,29 @@ def allocate_unconfirmed(inputs: DataFrame, outputs: DataFrame, assets: DataFram
     """tx, vout, known, occupied for each output of unconfirmed transactions.
 
     inputs: tx, vin, utxo, value (null if not known). outputs: tx, vout, value. assets: utxo, protocol, start, end, with a
-    null start for amounts without a place. A transaction fails closed, with known false for all its outputs, if an input
+    null start for amounts without a place. Assets and outputs are sorted along a transaction's sats once: no pairs are formed. A transaction fails closed, with known false for all its outputs, if an input
     is unknown, an asset has no place, or its outputs ask for more than its inputs hold. Otherwise an output is occupied if
     a bound asset's sats flow to it.
     """
-    bound = assets.where(~F.col("protocol").isin(*UNBOUND_PROTOCOLS))
-    lost = bound.where("start is null").select("utxo").distinct().withColumn("lost", F.lit(True))
-    checked = inputs.join(lost, "utxo", "left").groupBy("tx").agg(F.sum("value").alias("held"), F.bool_or(F.col("value").isNull() | F.col("lost").isNotNull()).alias("fails"))
-    asked = outputs.groupBy("tx").agg(F.sum("value").alias("asked"))
-    good = asked.join(checked, "tx", "left").select("tx", (~F.coalesce("fails", F.lit(False)) & (F.col("asked") <= F.coalesce("held", F.lit(0)))).alias("known"))
-    fine = good.where("known").select("tx")
-    flow = stretches(inputs.join(fine, "tx", "left_semi"), outputs.join(fine, "tx", "left_semi"), ["tx"], [F.col("vin")], [F.col("vout")], "utxo", "vout").where("vout is not null")
-    met = flow.join(bound.select("utxo", "start", "end"), "utxo").where("start < source_offset + amount and source_offset < end")
-    taken = met.select("tx", "vout").distinct().withColumn("taken", F.lit(True))
-    return outputs.select("tx", "vout").join(good, "tx").join(taken, ["tx", "vout"], "left").select("tx", "vout", "known", (F.col("known") & F.col("taken").isNotNull()).alias("occupied"))
+    each = Window.partitionBy("tx")
+    upto = each.orderBy("vin").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.greatest(F.col("value"), F.lit(0))
+    held = inputs.withColumn("__end", F.sum(known).over(upto)).withColumn("__held", F.sum("value").over(each)).withColumn("__unknown", F.bool_or(F.col("value").isNull()).over(each))
+    bound = assets.where(~F.col("protocol").isin(*UNBOUND_PROTOCOLS)).select("utxo", F.struct("start", "end").alias("__asset"))
+    low, high = F.col("__end") - known + F.greatest("__asset.start", F.lit(0)), F.col("__end") - known + F.least("__asset.end", known)
+    lies = F.col("__asset.start").isNotNull() & F.col("__asset.end").isNotNull() & (low < high)
+    facts = held.join(bound, "utxo", "left").select(
+        "tx", "__held", (F.col("__unknown") | (F.col("__asset").isNotNull() & F.col("__asset.start").isNull())).alias("__fails"), F.when(lies, low).alias("__at"), F.when(lies, high).alias("__high")
+    )
+    # an asset at the end of an output or later isn't in it: outputs stand at their last sat's end, before assets there
+    asked = running_ends(outputs.withColumn("__take", F.greatest(F.col("value"), F.lit(0))), ["tx"], [F.col("vout")], "__take", "__at")
+    asked = asked.select("tx", "vout", F.col("value").alias("__value"), "__at", (F.col("__at") - F.col("__take")).alias("__low"))
+    rows = asked.withColumn("__output", F.lit(True)).unionByName(facts, allowMissingColumns=True)
+    along = each.orderBy("__at", F.col("__output").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    good = ~F.coalesce(F.bool_or("__fails").over(each), F.lit(False)) & (F.sum("__value").over(each) <= F.coalesce(F.max("__held").over(each), F.lit(0)))
+    met = F.coalesce((F.max("__high").over(along) > F.col("__low")) & (F.col("__low") < F.col("__at")), F.lit(False))
+    judged = rows.withColumn("known", good).withColumn("__met", met).where("__output")
+    return judged.select("tx", "vout", "known", (F.col("known") & F.col("__met")).alias("occupied"))
 
 
 def rune_outputs(balances: dict, edicts: list[tuple], unspendable: list[bool], pointer: int | None = None, cenotaph: bool = False, mints_or_etches: bool = False) -> list[bool] | None:

@@ -102,16 +102,15 @@ select o.tx, cast(o.vout as integer) as vout, o.known, o.known and met.tx is not
 """)
 def mempool_occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as unconfirmed transactions: their lines are inputs, three outputs share the value, some inputs hold bound assets, some fail closed."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tx"), F.col("l_linenumber").alias("vin"))
-    lines = lines.agg(F.sum(cents("l_extendedprice")).alias("v"), F.min("l_partkey").alias("p")).withColumn("utxo", F.col("tx") * 10 + F.col("vin"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx"), F.col("l_linenumber").alias("vin"), cents("l_extendedprice").alias("v"), F.col("l_partkey").alias("p"))
+    lines = lines.repartition("tx").groupBy("tx", "vin").agg(F.sum("v").alias("v"), F.min("p").alias("p")).withColumn("utxo", F.col("tx") * 10 + F.col("vin"))
     inputs = lines.select("tx", "vin", "utxo", F.when(F.col("p") % 97 != 0, F.col("v")).alias("value"))
     third = F.expr("had div 3")
     outputs = lines.groupBy("tx").agg(F.sum("v").alias("had")).select("tx", F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("vout"), F.when(F.col("tx") % 11 == 0, F.col("had") * 2).otherwise(third).alias("value"))
-    placed = lines.where("p % 4 = 1").select("utxo", F.lit("ordx").alias("protocol"), F.expr("v div 4").alias("start"), F.expr("v div 2").alias("end"))
-    nowhere = F.lit(None).cast("bigint")
-    loose = lines.where("p % 89 = 5").select("utxo", F.lit("brc20").alias("protocol"), nowhere.alias("start"), nowhere.alias("end"))
-    other = lines.where("p % 2 = 0").select("utxo", F.lit("runes").alias("protocol"), nowhere.alias("start"), nowhere.alias("end"))
-    return bound.allocate_unconfirmed(inputs, outputs, placed.unionByName(loose).unionByName(other))
+    asset = lambda held, protocol, start, end: F.when(F.expr(held), F.struct(F.lit(protocol).alias("protocol"), F.expr(start).alias("start"), F.expr(end).alias("end")))
+    nowhere = "cast(null as bigint)"
+    held = F.array_compact(F.array(asset("p % 4 = 1", "ordx", "v div 4", "v div 2"), asset("p % 89 = 5", "brc20", nowhere, nowhere), asset("p % 2 = 0", "runes", nowhere, nowhere)))
+    return bound.allocate_unconfirmed(inputs, outputs, lines.select("utxo", F.inline(held)))
 
 
 @query("""

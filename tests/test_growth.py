@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import names
-from ledgerweave.operators import satflow, views
+from ledgerweave.operators import bound, satflow, views
 from ledgerweave.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -56,3 +58,37 @@ def test_block_flow_without_joins(spark):
     want = [(1, 10, 0, 20, 0, 3), (1, None, 0, 30, 0, 3), (1, 10, 3, 30, 3, 2), (1, 11, 0, 30, 5, 4), (2, 12, 0, 21, 0, 1), (2, 12, 1, 31, 0, 4), (2, 12, 5, None, None, 1), (3, None, 0, 32, 0, 7)]
     assert {tuple(r) for r in moves.collect()} == set(want)
     assert "Join" not in moves._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unconfirmed_by_every_sat(spark):
+    """Occupied outputs as a walk over all sats gives them, with one join, that of assets to inputs."""
+    rng = random.Random(11)
+    ins, outs, assets, want = [], [], [], set()
+    for tx in range(1, 150):
+        fails, line, held, n = False, [], 0, rng.randint(0, 4)
+        for vin in range(n):
+            utxo = tx * 10 + vin
+            value = None if rng.random() < 0.05 else rng.randint(0, 6)
+            fails, held = fails or value is None, held + (value or 0)
+            ins.append((tx, vin, utxo, value))
+            marked = [False] * (value or 0)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                protocol = rng.choice(["ordx", "ordx", "ordx", "runes", "brc20"])
+                start = None if protocol == "runes" or rng.random() < 0.1 else rng.randint(0, 6)
+                end = None if start is None else start + rng.randint(1, 3)
+                assets.append((utxo, protocol, start, end))
+                fails = fails or (protocol != "runes" and start is None)
+                if protocol != "runes" and start is not None:
+                    marked = [m or start <= k < end for k, m in enumerate(marked)]
+            line += marked
+        values = [rng.randint(0, 5) for _ in range(rng.randint(1, 3))]
+        known, at = not fails and sum(values) <= held, 0
+        for vout, value in enumerate(values):
+            outs.append((tx, vout, value))
+            want.add((tx, vout, known, known and any(line[at : at + value])))
+            at += value
+    table = lambda rows, kind: spark.createDataFrame(rows, kind)
+    judged = bound.allocate_unconfirmed(table(ins, "tx long, vin int, utxo long, value long"), table(outs, "tx long, vout int, value long"), table(assets, "utxo long, protocol string, start long, end long"))
+    assert {tuple(r) for r in judged.collect()} == want
+    assert {w[2:] for w in want} == {(False, False), (True, False), (True, True)}
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
